@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from inkprint.config import CorpusConfig
 from inkprint.functions import text
 from inkprint.operators.ranking import cut_keys, keep_lowest, sample_key
+from inkprint.session import materialise
 
-ID_SPAN = 1 << 44  # room for ids below each source rank in an order key
+ID_SPAN = 1 << 53  # room for ids below each source rank in an order key
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:
@@ -61,9 +62,9 @@ def balanced_sample(df: DataFrame, n_total: int, seed: int = 42,
 def soft_cap(df: DataFrame, limit: int, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     """At most ``limit`` rows of a source, the same ones every time."""
     spark = df.sparkSession
-    whole = df.withColumn("_all", F.lit(0))
-    quota = spark.range(1).select(F.lit(0).alias("_all"), F.lit(limit).alias("rank"))
-    return keep_lowest(whole, "_all", sample_key(f"cap{seed}", id_col), quota).drop("_all")
+    whole = df.withColumn("_one", F.lit(0))
+    quota = spark.range(1).select(F.lit(0).alias("_one"), F.lit(limit).alias("rank"))
+    return keep_lowest(whole, "_one", sample_key(f"cap{seed}", id_col), quota).drop("_one")
 
 
 def shuffle_key(seed: int = 42, id_col: str = "doc_id") -> Column:
@@ -146,8 +147,21 @@ def stratified_split(df: DataFrame, val_ratio: float, test_ratio: float,
 
 
 def build_corpus(sources: list[DataFrame], cfg: CorpusConfig = CorpusConfig()) -> DataFrame:
-    """Union, dedup, balance and split cleaned source frames."""
-    merged = with_fingerprint(union_sources(sources))
-    unique = keep_first(merged, load_order())
-    sample = balanced_sample(unique, cfg.total_samples, cfg.seed)
-    return stratified_split(sample, cfg.val_ratio, cfg.test_ratio, cfg.seed)
+    """Union, dedup, balance and split cleaned source frames.
+
+    Cleaned text is written once, which also freezes the load order. Dedup,
+    sampling and splitting then work on (order, digest, label) alone, keyed on
+    the digest so that they do not depend on how files were cut into tasks. The
+    text moves in one final join.
+    """
+    staged = materialise(
+        with_fingerprint(union_sources(sources)).withColumn("load_order", load_order()), "clean")
+    slim = staged.groupBy("fp").agg(
+        F.min("load_order").alias("load_order"),
+        F.min_by("label", "load_order").alias("label"))
+    unique = materialise(slim, "unique")
+    sample = materialise(
+        balanced_sample(unique, cfg.total_samples, cfg.seed, id_col="fp"), "sample")
+    chosen = stratified_split(sample, cfg.val_ratio, cfg.test_ratio, cfg.seed, id_col="fp")
+    return staged.join(chosen.select("load_order", "split"), "load_order").drop(
+        "load_order", "source_rank")

@@ -17,8 +17,8 @@ PREFIX_HEX = 4  # 65,536 buckets
 def sample_key(seed: str | int, id_col: str = "doc_id") -> Column:
     """Uniform order key: the digest of seed and id, then the id itself."""
     text_id = F.col(id_col).cast("string")
-    return F.concat(
-        F.md5(F.concat(F.lit(f"{seed}|"), text_id)), F.lit("|"), F.lpad(text_id, 20, "0"))
+    padded = F.when(F.length(text_id) < 20, F.lpad(text_id, 20, "0")).otherwise(text_id)
+    return F.concat(F.md5(F.concat(F.lit(f"{seed}|"), text_id)), F.lit("|"), padded)
 
 
 def cut_keys(keyed: DataFrame, group: str, key: str, cuts: DataFrame,
