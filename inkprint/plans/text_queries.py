@@ -272,9 +272,9 @@ FEATURE_SQL = {
 }
 
 
-def features_sql(names, src=STYLED):
+def features_sql(names, src=STYLED, finish=r6):
     body = ", ".join(
-        f"{r6(f'CASE WHEN len(s) = 0 THEN 0 ELSE {FEATURE_SQL[n]} END')} AS {n}" for n in names)
+        f"{finish(f'CASE WHEN len(s) = 0 THEN 0 ELSE {FEATURE_SQL[n]} END')} AS {n}" for n in names)
     joined = " ".join(
         f"LEFT JOIN {sub} {a} ON {a}.doc_id = tok.doc_id" for a, sub in _JOINS.items()
         if any(f"{a}." in FEATURE_SQL[n].replace("x.", "") for n in names))
