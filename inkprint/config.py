@@ -25,6 +25,7 @@ class GenreConfig:
     samples_per_class: int = 20_000
     max_tokens: int = 256
     max_chars: int = 1_500
+    hash_features: int = 1 << 16
     val_ratio: float = 0.1
     test_ratio: float = 0.1
     seed: int = 42
@@ -40,7 +41,8 @@ class StyloConfig:
     row_fraction: float = 0.9
     feature_fraction: str = "0.9"
     min_rows_per_leaf: int = 5
-    patience_tolerance: float = 0.01
+    first_rounds: int = 100
+    patience: int = 50
     importance_threshold: float = 0.01
     seed: int = 42
 

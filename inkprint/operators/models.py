@@ -84,7 +84,7 @@ def external_probability(df: DataFrame, scores: DataFrame, out: str = "semantic"
 
 def fit_genre(train: DataFrame, cfg: GenreConfig = GenreConfig(),
               sem: SemanticConfig = SemanticConfig()) -> TextModel:
-    return fit_text_model(train, cfg.max_tokens, sem.hash_features, sem.max_iter, sem.reg)
+    return fit_text_model(train, cfg.max_tokens, cfg.hash_features, sem.max_iter, sem.reg)
 
 
 def formality(probs: Column) -> Column:
@@ -157,22 +157,50 @@ class StyloModel:
                    {k: tuple(v) for k, v in meta["stats"].items()}, meta["names"])
 
 
+def patience_stop(losses: list[float], patience: int) -> tuple[int, bool]:
+    """Best round (from 1), and whether patience ran out after it."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
 def fit_stylometric(features: DataFrame, names=FEATURE_NAMES, cfg: StyloConfig = StyloConfig(),
                     label: str = "label") -> StyloModel:
-    """Boosted trees on train rows; val rows (``split``) stop the boosting early."""
+    """Boosted trees on train rows, stopped by the loss on val rows (``split``).
+
+    Boosting runs a first stretch of rounds and doubles it until the val loss has
+    not improved for ``patience`` rounds; the best prefix is then kept. Rounds
+    are seeded one by one, so fitting fewer of them gives exactly that prefix.
+    """
     names = list(names)
     stats = fit_scaler(features.where(F.col("split") == "train"), names)
     d = scale(features.where(F.col("split").isin("train", "val")).select(
         label, "split", *names), stats)
     d = VectorAssembler(inputCols=names, outputCol="_x", handleInvalid="keep").transform(d).select(
-        label, "_x", (F.col("split") == "val").alias("_held"))
-    learner = GBTClassifier(
-        featuresCol="_x", labelCol=label, predictionCol="_pred", maxIter=cfg.trees, maxDepth=cfg.depth, stepSize=cfg.step,
-        subsamplingRate=cfg.row_fraction, featureSubsetStrategy=cfg.feature_fraction,
-        minInstancesPerNode=cfg.min_rows_per_leaf, validationIndicatorCol="_held",
-        validationTol=cfg.patience_tolerance, seed=cfg.seed,
-    ).setProbabilityCol("_prob").setRawPredictionCol("_raw")
-    return StyloModel(learner.fit(d), stats, names)
+        label, "split", "_x")
+    train, val = d.where(F.col("split") == "train"), d.where(F.col("split") == "val")
+
+    def boosted(rounds):
+        return GBTClassifier(
+            featuresCol="_x", labelCol=label, predictionCol="_pred", maxIter=rounds,
+            maxDepth=cfg.depth, stepSize=cfg.step, subsamplingRate=cfg.row_fraction,
+            featureSubsetStrategy=cfg.feature_fraction, minInstancesPerNode=cfg.min_rows_per_leaf,
+            seed=cfg.seed).setProbabilityCol("_prob").setRawPredictionCol("_raw").fit(train)
+
+    if val.isEmpty():
+        return StyloModel(boosted(cfg.trees), stats, names)
+    rounds = min(cfg.trees, cfg.first_rounds)
+    while True:
+        trees = boosted(rounds)
+        best, stopped = patience_stop(trees.evaluateEachIteration(val), cfg.patience)
+        if stopped or rounds == cfg.trees:
+            break
+        rounds = min(cfg.trees, rounds * 2)
+    return StyloModel(boosted(best) if best < rounds else trees, stats, names)
 
 
 def pruned_names(model: StyloModel, threshold: float) -> list[str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkprint.config import RatioConfig
+from inkprint.config import RatioConfig, StyloConfig
 from inkprint.functions.lexicons import FEATURE_NAMES, GENRES
 from inkprint.functions.stats import round6
 from inkprint.functions.stylometry import with_stylometry
@@ -30,6 +30,9 @@ def _add(name, build, sql=None):
 
 _FITTED: dict = {}
 
+# The tables hold a few hundred labelled rows, so boosting is kept short.
+SHORT = StyloConfig(trees=40, first_rounds=20, patience=10, min_rows_per_leaf=2)
+
 
 def fitted(s, sf):
     """The detector for a data folder, trained once per application.
@@ -42,7 +45,7 @@ def fitted(s, sf):
         rows = materialise(corpus.stratified_split(turns(s, sf), 0.15, 0.15), "rows")
         genres = materialise(corpus.stratified_split(genre_rows(s, sf).select(
             "doc_id", F.substring("text", 1, 1500).alias("text"), "label"), 0.1, 0.1), "genres")
-        _FITTED[key] = (*train_detector(rows, genres), rows)
+        _FITTED[key] = (*train_detector(rows, genres, stylo=SHORT), rows)
     return _FITTED[key]
 
 
@@ -63,7 +66,7 @@ def _style_scores(s, sf):
 
 def _split_style(s, sf):
     d = materialise(with_stylometry(fitted(s, sf)[2].select("doc_id", "text", "label", "split")), "style")
-    return models.fit_stylometric(d.drop("text"), FEATURE_NAMES).probability(d).select(
+    return models.fit_stylometric(d.drop("text"), FEATURE_NAMES, SHORT).probability(d).select(
         "doc_id", round6(F.col("stylometric")).alias("stylometric"))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text_queries", "corpus_queries", "metric_queries", "source_queries", "model_queries")
+MODULES = ("text_queries", "corpus_queries", "metric_queries", "source_queries",
+           "model_queries", "scoring_queries")
 
 
 def _merged(attribute: str) -> dict:
