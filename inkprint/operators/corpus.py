@@ -43,6 +43,16 @@ def keep_first(df: DataFrame, order_key: Column, fp: str = "fp") -> DataFrame:
     return keyed.join(first, "_order", "left_semi").drop("_order")
 
 
+def first_values(df: DataFrame, order_key: Column, columns: list[str], fp: str = "fp") -> DataFrame:
+    """(fp, columns...) of the row loaded first, for a few narrow columns.
+
+    One pass and one shuffle of the narrow columns, combined before it; the
+    costly text expressions below are evaluated once.
+    """
+    keyed = df.select(fp, *columns, order_key.alias("_order"))
+    return keyed.groupBy(fp).agg(*[F.min_by(c, "_order").alias(c) for c in columns])
+
+
 def class_quota(df: DataFrame, n_total: int, label: str = "label") -> DataFrame:
     """(label, rank): the size both classes can fill, at most half of n_total."""
     counts = df.agg(F.count_if(F.col(label) == 0).alias("h"),

@@ -25,8 +25,8 @@ def trigrams(c: Column, head: int = HEAD_CHARS) -> Column:
 def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
         size: int = PROFILE_SIZE) -> DataFrame:
     """(gram, lang, logp): add-one log probabilities over the joint profile."""
-    counts = (df.select(F.col(lang_col).alias("lang"), F.explode(trigrams(F.col(text_col))).alias("gram"))
-              .groupBy("lang", "gram").agg(F.count("*").alias("c")))
+    counts = (df.select(F.col(lang_col).alias("lang"), F.explode_outer(trigrams(F.col(text_col))).alias("gram"))
+              .where(F.col("gram").isNotNull()).groupBy("lang", "gram").agg(F.count("*").alias("c")))
     order = Window.partitionBy("lang").orderBy(F.desc("c"), "gram")
     top = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= size)
     # From here on: at most size rows per language.
@@ -51,7 +51,8 @@ def detect(df: DataFrame, profile: DataFrame, text_col: str = "text",
     Triples of a document leave one task together, so the partial sums shrink
     them to one row per language before anything is shuffled.
     """
-    hits = df.select(key, F.explode(trigrams(F.col(text_col))).alias("gram")).join(
+    # Outer explode: the inner one would compute the triples twice, once to filter.
+    hits = df.select(key, F.explode_outer(trigrams(F.col(text_col))).alias("gram")).join(
         F.broadcast(profile), "gram")
     scores = hits.groupBy(key, "lang").agg(F.sum("logp").alias("score"))
     best = scores.groupBy(key).agg(

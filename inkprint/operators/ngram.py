@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from inkprint.config import RatioConfig
 from inkprint.functions import text
-from inkprint.session import scratch_path
+from inkprint.session import materialise, scratch_path
 
 START = ""  # stands before a text; never equals a token
 
@@ -30,13 +30,14 @@ START = ""  # stands before a text; never equals a token
 def grams(df: DataFrame, max_tokens: int, text_col: str = "text", keep=("doc_id",)) -> DataFrame:
     """(keep..., u, v, w): each token with the two before it."""
     t = F.slice(text.ws_tokens(F.lower(F.coalesce(text_col, F.lit("")))), 1, max_tokens)
-    d = df.select(*keep, t.alias("_t")).where(F.size("_t") > 0)
-    n = F.size("_t")
-    before = F.concat(F.array(F.lit(START)), F.slice("_t", F.lit(1), n - 1))
-    d = d.withColumn("_v", before)
-    two = F.concat(F.array(F.lit(START)), F.slice("_v", F.lit(1), n - 1))
-    return d.select(*keep, F.inline(F.arrays_zip(
-        two.alias("u"), F.col("_v").alias("v"), F.col("_t").alias("w"))))
+    d = df.select(*keep, t.alias("_t"))
+    rest = F.greatest(F.size("_t") - 1, F.lit(0))
+    d = d.withColumn("_v", F.concat(F.array(F.lit(START)), F.slice("_t", F.lit(1), rest)))
+    two = F.concat(F.array(F.lit(START)), F.slice("_v", F.lit(1), rest))
+    # The outer form: the inner one makes the optimizer infer a filter that
+    # tokenises every text a second time.
+    return d.select(*keep, F.inline_outer(F.arrays_zip(
+        two.alias("u"), F.col("_v").alias("v"), F.col("_t").alias("w")))).where(F.col("w").isNotNull())
 
 
 @dataclass
@@ -79,7 +80,8 @@ def ratios(df: DataFrame, model: NgramModel, text_col: str = "text",
     spark, cfg = df.sparkSession, model.cfg
     g = grams(df, cfg.max_tokens, text_col, keep=(key,)).where(F.col("v") != START)
     per_doc = g.groupBy(key, "u", "v", "w").agg(F.count("*").alias("k"))
-    distinct = g.select("u", "v", "w").distinct()
+    # Read twice below; written once so that the text is not tokenised again.
+    distinct = materialise(g.select("u", "v", "w").distinct(), "grams")
 
     smooth = float(model.tokens + model.vocabulary + 1)
     p1 = (F.coalesce("c", F.lit(0)) + 1.0) / F.lit(smooth)

@@ -36,8 +36,9 @@ def confidence(prob: Column, threshold: float = SCORING.threshold) -> Column:
 
 def sentence_rows(df: DataFrame, text_col: str = "shown_text", key: str = "doc_id") -> DataFrame:
     """One row per display sentence: (key, sent_idx, sentence)."""
-    return df.select(key, F.posexplode(text.display_sentences(F.col(text_col))).alias(
-        "sent_idx", "sentence"))
+    # Outer explode: the inner one would split every text twice, once to filter.
+    return df.select(key, F.posexplode_outer(text.display_sentences(F.col(text_col))).alias(
+        "sent_idx", "sentence")).where(F.col("sentence").isNotNull())
 
 
 def sentence_band(prob: Column, cfg: ScoringConfig = SCORING) -> Column:

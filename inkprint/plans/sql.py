@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkprint.session import spread
+
 WS = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -59,8 +61,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf: str, text: str = "text") -> DataFrame:
     """The documents table with its text replaced by an expression over it."""
-    return table(spark, sf, "documents").select(
-        "doc_id", "lang", "source", F.expr(text).alias("text"))
+    plain = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    return spread(plain, "doc_id").withColumn("text", F.expr(text))
 
 
 def h01(tag: str, key: str) -> str:

@@ -9,7 +9,7 @@ from inkprint.functions import lexicons, text
 from inkprint.functions.stats import entropy_bits, round6
 from inkprint.functions.stylometry import with_stylometry
 from inkprint.operators import cleaning
-from inkprint.operators.corpus import keep_first, with_fingerprint
+from inkprint.operators.corpus import first_values, keep_first, load_order, with_fingerprint
 from inkprint.plans.sql import (
     DIRTY, LINED, NON_WS, STYLED, WS, clean_sql, documents, h01, h01_col, r6,
     strip_sql, table, tokens_sql, words_sql,
@@ -80,8 +80,6 @@ def _dedup_input(s, sf):
     return with_fingerprint(d.withColumn("source_rank", rank))
 
 
-from inkprint.operators.corpus import load_order  # noqa: E402
-
 _add("c10_keep_first",
      lambda s, sf: keep_first(_dedup_input(s, sf), load_order()).select("doc_id", "source", "fp"),
      "SELECT doc_id, source, fp FROM (SELECT *, row_number() OVER (PARTITION BY fp "
@@ -142,9 +140,9 @@ _add("c17_rejection_funnel",
 def minimum_slice(s, sf, source="text"):
     """Clean, fingerprint, keep first, count by language: the flagship query."""
     d = cleaning.cleaned(documents(s, sf, source), speaks_english=None)
-    d = with_fingerprint(d).withColumn("source_rank", F.lit(0).cast("bigint"))
-    return keep_first(d, load_order()).groupBy("lang").agg(
-        F.count("*").alias("docs"), F.sum(text.word_count(T())).alias("words"))
+    d = with_fingerprint(d.withColumn("n_words", text.word_count(T())))
+    return first_values(d, F.col("doc_id"), ["lang", "n_words"]).groupBy("lang").agg(
+        F.count("*").alias("docs"), F.sum("n_words").alias("words"))
 
 
 _KEPT = (

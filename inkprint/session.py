@@ -59,3 +59,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table of fewer files than cores over all cores, by a unique key.
+
+    A handful of unsplittable files would leave most cores idle in front of the
+    heavy text expressions. Tables of many files, the normal case on a cluster,
+    are read as they are, with no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = len(df.inputFiles()) < cores
+    return df.repartition(cores, key) if few else df
