@@ -26,10 +26,10 @@ def singles(counts: Column) -> Column:
     return F.size(F.filter(counts, lambda n: n == 1.0))
 
 
-def entropy_bits(counts: Column, total: Column) -> Column:
-    """Shannon entropy of counts that add up to total: log2(N) - sum(c*log2 c)/N."""
+def entropy_bits(weighted: Column, total: Column) -> Column:
+    """Shannon entropy from clogc of counts that add up to total."""
     return F.when(
-        total > 0, F.log2(total.cast("double")) - clogc(counts) / total
+        total > 0, F.log2(total.cast("double")) - weighted / total
     ).otherwise(F.lit(0.0))
 
 

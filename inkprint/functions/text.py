@@ -72,8 +72,21 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(TOKEN)).cast("bigint")
 
 
-def unique_token_ratio(c: Column) -> Column:
-    tokens = ws_tokens(F.lower(c))
+def single_spaced(c: Column) -> Column:
+    """Cleaned text, whose only whitespace is the plain space, without runs of it."""
+    return F.trim(F.when(F.contains(c, F.lit("  ")), F.regexp_replace(c, " {2,}", " ")).otherwise(c))
+
+
+def clean_word_count(c: Column) -> Column:
+    """Words of cleaned text, by counting its spaces."""
+    flat = single_spaced(c)
+    spaces = F.octet_length(flat) - F.octet_length(F.replace(flat, F.lit(" "), F.lit("")))
+    return F.when(flat == "", 0).otherwise(spaces + 1).cast("bigint")
+
+
+def clean_unique_ratio(c: Column) -> Column:
+    """Share of distinct lower-cased words of cleaned text."""
+    tokens = F.split(F.lower(single_spaced(c)), " ")
     return F.size(F.array_distinct(tokens)) / F.size(tokens)
 
 

@@ -23,15 +23,15 @@ MIN_LINE_CHARS = 20
 
 def corpus_rules(cfg: CorpusConfig, speaks_english: Column | None,
                  col: str = "text") -> list[tuple[str, Column]]:
-    """Pass conditions in reporting order; a null language verdict passes."""
+    """Pass conditions on cleaned text in reporting order; a null language verdict passes."""
     c = F.col(col)
-    n = text.word_count(c)
+    n = text.clean_word_count(c)
     rules = [("blank", ~text.is_blank(c))]
     if speaks_english is not None:
         rules.append(("language", F.coalesce(speaks_english, F.lit(True))))
     return rules + [
         ("word_count", n.between(cfg.min_words, cfg.max_words)),
-        ("repetition", text.unique_token_ratio(c) >= cfg.min_unique_ratio),
+        ("repetition", text.clean_unique_ratio(c) >= cfg.min_unique_ratio),
     ]
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkprint.session import materialise
+
 PROFILE_SIZE = 1_000
 HEAD_CHARS = 500
 MAX_LANGUAGES = 200
@@ -25,8 +27,9 @@ def trigrams(c: Column, head: int = HEAD_CHARS) -> Column:
 def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
         size: int = PROFILE_SIZE) -> DataFrame:
     """(gram, lang, logp): add-one log probabilities over the joint profile."""
-    counts = (df.select(F.col(lang_col).alias("lang"), F.explode_outer(trigrams(F.col(text_col))).alias("gram"))
-              .where(F.col("gram").isNotNull()).groupBy("lang", "gram").agg(F.count("*").alias("c")))
+    counts = materialise(
+        df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode_outer(trigrams(F.col(text_col))).alias("gram"))
+              .where(F.col("gram").isNotNull()).groupBy("lang", "gram").agg(F.count("*").alias("c")), "grams")
     order = Window.partitionBy("lang").orderBy(F.desc("c"), "gram")
     top = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= size)
     # From here on: at most size rows per language.
@@ -40,8 +43,8 @@ def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     wide = kept.groupBy("gram").pivot("lang", langs).agg(F.sum("c")).fillna(0)
     long = wide.unpivot(["gram"], langs, "lang", "c")
     whole = Window.partitionBy("lang")
-    return long.select("gram", "lang", F.log(
-        (F.col("c") + 1.0) / (F.sum("c").over(whole) + F.count("*").over(whole))).alias("logp"))
+    return materialise(long.select("gram", "lang", F.log(
+        (F.col("c") + 1.0) / (F.sum("c").over(whole) + F.count("*").over(whole))).alias("logp")), "profile")
 
 
 def detect(df: DataFrame, profile: DataFrame, text_col: str = "text",

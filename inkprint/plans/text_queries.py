@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkprint.config import CorpusConfig
 from inkprint.functions import lexicons, text
-from inkprint.functions.stats import entropy_bits, round6
+from inkprint.functions.stats import clogc, entropy_bits, round6
 from inkprint.functions.stylometry import with_stylometry
 from inkprint.operators import cleaning
 from inkprint.operators.corpus import first_values, keep_first, load_order, with_fingerprint
@@ -60,14 +60,14 @@ _add("c06_language",
 _CLEANED = f"(SELECT doc_id, lang, source, {clean_sql(DIRTY)} AS text FROM documents)"
 _add("c07_word_bounds",
      lambda s, sf: documents(s, sf, DIRTY).select(
-         "doc_id", text.word_count(text.clean_characters(T())).alias("n_words")
+         "doc_id", text.clean_word_count(text.clean_characters(T())).alias("n_words")
      ).where(F.col("n_words").between(50, 512)),
      f"SELECT * FROM (SELECT doc_id, len({tokens_sql('text')})::BIGINT AS n_words FROM {_CLEANED}) "
      "WHERE n_words BETWEEN 50 AND 512")
 _UNIQUE = f"(len(list_distinct({tokens_sql('lower(text)')}))::DOUBLE / len({tokens_sql('text')}))"
 _add("c08_unique_ratio",
      lambda s, sf: documents(s, sf, DIRTY).where(~text.is_blank(T())).select(
-         "doc_id", text.unique_token_ratio(text.clean_characters(T())).alias("r")
+         "doc_id", text.clean_unique_ratio(text.clean_characters(T())).alias("r")
      ).where(F.col("r") >= 0.20).select("doc_id", round6(F.col("r")).alias("unique_ratio")),
      f"SELECT doc_id, {r6('r')} AS unique_ratio FROM (SELECT doc_id, {_UNIQUE} AS r FROM {_CLEANED}) WHERE r >= 0.20")
 _text_op("c09_fingerprint", DIRTY, lambda: text.fingerprint(T()),
@@ -140,7 +140,7 @@ _add("c17_rejection_funnel",
 def minimum_slice(s, sf, source="text"):
     """Clean, fingerprint, keep first, count by language: the flagship query."""
     d = cleaning.cleaned(documents(s, sf, source), speaks_english=None)
-    d = with_fingerprint(d.withColumn("n_words", text.word_count(T())))
+    d = with_fingerprint(d.withColumn("n_words", text.clean_word_count(T())))
     return first_values(d, F.col("doc_id"), ["lang", "n_words"]).groupBy("lang").agg(
         F.count("*").alias("docs"), F.sum("n_words").alias("words"))
 
@@ -298,6 +298,6 @@ _add("features_all", _features(lexicons.FEATURE_NAMES), features_sql(lexicons.FE
 _add("t06_entropy",
      lambda s, sf: documents(s, sf, STYLED).select(
          "doc_id", text.words(F.lower(T())).alias("w")).select(
-         "doc_id", round6(entropy_bits(text.run_lengths(F.col("w")), F.size("w"))).alias("h")),
+         "doc_id", round6(entropy_bits(clogc(text.run_lengths(F.col("w"))), F.size("w"))).alias("h")),
      _TOK.replace("{src}", STYLED) + f"SELECT tok.doc_id AS doc_id, {r6('coalesce(u.h, 0)')} AS h "
      f"FROM tok LEFT JOIN {_JOINS['u']} u ON u.doc_id = tok.doc_id")
