@@ -41,6 +41,7 @@ class StyloConfig:
     row_fraction: float = 0.9
     feature_fraction: str = "0.9"
     min_rows_per_leaf: int = 5
+    max_bins: int = 256
     first_rounds: int = 100
     patience: int = 50
     importance_threshold: float = 0.01

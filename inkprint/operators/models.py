@@ -189,7 +189,7 @@ def fit_stylometric(features: DataFrame, names=FEATURE_NAMES, cfg: StyloConfig =
             featuresCol="_x", labelCol=label, predictionCol="_pred", maxIter=rounds,
             maxDepth=cfg.depth, stepSize=cfg.step, subsamplingRate=cfg.row_fraction,
             featureSubsetStrategy=cfg.feature_fraction, minInstancesPerNode=cfg.min_rows_per_leaf,
-            seed=cfg.seed).setProbabilityCol("_prob").setRawPredictionCol("_raw").fit(train)
+            maxBins=cfg.max_bins, seed=cfg.seed).setProbabilityCol("_prob").setRawPredictionCol("_raw").fit(train)
 
     if val.isEmpty():
         return StyloModel(boosted(cfg.trees), stats, names)

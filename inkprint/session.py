@@ -46,8 +46,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/inkprint/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, grouped by application for clean-up."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/inkprint/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -69,5 +70,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     are read as they are, with no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    few = len(df.inputFiles()) < cores
+    # Listing the files is only cheap once the splits say there cannot be many.
+    few = df.rdd.getNumPartitions() < cores and len(df.inputFiles()) < cores
     return df.repartition(cores, key) if few else df

@@ -43,7 +43,8 @@ def cached_features(df: DataFrame, path: str, names=FEATURE_NAMES, text_col: str
     todo = df.select("fp", text_col)
     if have is not None:
         todo = todo.join(have.select("fp"), "fp", "left_anti")
-    with_stylometry(todo.dropDuplicates(["fp"]), text_col, names).drop(text_col).write.mode(
+    # Equal texts meet after the features are computed: numbers move, not text.
+    with_stylometry(todo, text_col, names).drop(text_col).dropDuplicates(["fp"]).write.mode(
         "append").parquet(home)
     return df.select("fp").dropDuplicates().join(spark.read.parquet(home), "fp")
 
