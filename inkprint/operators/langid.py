@@ -26,25 +26,25 @@ def trigrams(c: Column, head: int = HEAD_CHARS) -> Column:
 
 def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
         size: int = PROFILE_SIZE) -> DataFrame:
-    """(gram, lang, logp): add-one log probabilities over the joint profile."""
+    """The profile: ``gram`` and a column ``lang_CODE`` of add-one log
+    probabilities over the joint vocabulary for each language."""
     counts = materialise(
-        df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode_outer(trigrams(F.col(text_col))).alias("gram"))
-              .where(F.col("gram").isNotNull()).groupBy("lang", "gram").agg(F.count("*").alias("c")), "grams")
+        df.where(F.col(lang_col).isNotNull()).select(
+            F.col(lang_col).alias("lang"), F.explode_outer(trigrams(F.col(text_col))).alias("gram"))
+        .where(F.col("gram").isNotNull()).groupBy("lang", "gram").agg(F.count("*").alias("c")), "grams")
     order = Window.partitionBy("lang").orderBy(F.desc("c"), "gram")
     top = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= size)
-    # From here on: at most size rows per language.
-    vocabulary = top.select("gram").distinct()
-    kept = counts.join(F.broadcast(vocabulary), "gram")
-    # Pivoting on the language fills in the pairs that were never seen.
     langs = [r["lang"] for r in counts.select("lang").distinct().orderBy("lang").limit(
         MAX_LANGUAGES + 1).collect()]
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang_col}")
-    wide = kept.groupBy("gram").pivot("lang", langs).agg(F.sum("c")).fillna(0)
-    long = wide.unpivot(["gram"], langs, "lang", "c")
-    whole = Window.partitionBy("lang")
-    return materialise(long.select("gram", "lang", F.log(
-        (F.col("c") + 1.0) / (F.sum("c").over(whole) + F.count("*").over(whole))).alias("logp")), "profile")
+    # From here on: at most size rows per language. The pivot fills in pairs never seen.
+    kept = counts.join(F.broadcast(top.select("gram").distinct()), "gram")
+    wide = materialise(kept.groupBy("gram").pivot("lang", langs).agg(F.sum("c")).fillna(0), "profile")
+    total = wide.agg(F.count("*").alias("n"), *[F.sum(f"`{x}`").alias(f"t{i}") for i, x in enumerate(langs)]).first()
+    return wide.select("gram", *[
+        F.log((F.col(f"`{x}`") + 1.0) / F.lit(float((total[f"t{i}"] or 0) + total["n"]))).alias(f"lang_{x}")
+        for i, x in enumerate(langs)])
 
 
 def detect(df: DataFrame, profile: DataFrame, text_col: str = "text",
@@ -52,12 +52,14 @@ def detect(df: DataFrame, profile: DataFrame, text_col: str = "text",
     """(key, detected): most likely language, null when no trigram is known.
 
     Triples of a document leave one task together, so the partial sums shrink
-    them to one row per language before anything is shuffled.
+    them to one row per document before anything is shuffled.
     """
+    langs = [c for c in profile.columns if c != "gram"]
     # Outer explode: the inner one would compute the triples twice, once to filter.
     hits = df.select(key, F.explode_outer(trigrams(F.col(text_col))).alias("gram")).join(
         F.broadcast(profile), "gram")
-    scores = hits.groupBy(key, "lang").agg(F.sum("logp").alias("score"))
-    best = scores.groupBy(key).agg(
-        F.max_by("lang", F.struct(F.round("score", 6).alias("s"), F.col("lang"))).alias("detected"))
-    return df.select(key).join(best, key, "left")
+    scores = hits.groupBy(key).agg(*[F.sum(f"`{c}`").alias(c) for c in langs])
+    best = F.array_max(F.array(*[
+        F.struct(F.round(f"`{c}`", 6).alias("score"), F.lit(c.removeprefix("lang_")).alias("lang"))
+        for c in langs]))
+    return df.select(key).join(scores.select(key, best["lang"].alias("detected")), key, "left")

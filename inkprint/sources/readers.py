@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from inkprint.functions import text
 from inkprint.operators.corpus import fill_quota, union_sources
+from inkprint.session import materialise
 
 log = logging.getLogger(__name__)
 
@@ -175,9 +176,10 @@ def human_source(df: DataFrame, body: Column, source: str, target: int,
     """Human rows from ``body`` up to a target, chosen by digest order."""
     rows = df.select(F.col(id_col).alias("doc_id"), body.alias("text"),
                      F.lit(0).alias("label"), F.lit(source).alias("source"),
-                     F.lit("human").alias("model"), F.lit(0).cast("bigint").alias("source_rank")
-                     ).where(F.col("text").isNotNull())
-    return fill_quota(rows, target, seed=seed, groups=[0]).drop("source_rank")
+                     F.lit("human").alias("model"), F.lit(0).cast("bigint").alias("source_rank"))
+    # Written before the null test, which would otherwise evaluate the body twice.
+    candidates = materialise(rows, source).where(F.col("text").isNotNull())
+    return fill_quota(candidates, target, seed=seed, groups=[0]).drop("source_rank")
 
 
 def genre_rows(df: DataFrame, body: Column, label: int, min_words: int,
@@ -196,9 +198,11 @@ def with_fallbacks(frames: list[DataFrame], quota: int, seed: int = 42,
                    groups: list | None = None) -> DataFrame:
     """Rows from the frames in order until each class has its quota.
 
-    Rows of a later frame come in only as far as earlier ones fall short.
+    Rows of a later frame come in only as far as earlier ones fall short. The
+    candidates are written once: ranking them reads ids, not text.
     """
-    return fill_quota(union_sources(frames), quota, seed=seed, groups=groups)
+    candidates = materialise(union_sources(frames), "candidates")
+    return fill_quota(candidates, quota, seed=seed, groups=groups)
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
