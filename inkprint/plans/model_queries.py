@@ -30,8 +30,8 @@ def _add(name, build, sql=None):
 
 _FITTED: dict = {}
 
-# The tables hold a few hundred labelled rows, so boosting is kept short.
-SHORT = StyloConfig(trees=40, first_rounds=20, patience=10, min_rows_per_leaf=2)
+# The tables hold a few hundred labelled rows: short boosting, coarse bins.
+SHORT = StyloConfig(trees=20, first_rounds=10, patience=5, max_bins=32)
 
 
 def fitted(s, sf):
