@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from inkprint.llm.common import rows_by_python, stage
 
 
+MAX_TASKS = 20_000
+
+
 def place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
@@ -24,6 +27,11 @@ def make_folder(path: str) -> None:
     store.create_dir(at, recursive=True)
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """A manifest with a task for every few files, however small its rows are."""
+    return files.repartition(max(1, min(files.count(), MAX_TASKS)), "file")
+
+
 def commit(manifest: DataFrame, home: str, name: str) -> DataFrame:
     """Give the files of ``manifest`` (column ``temp``) their final names (``file``).
 
@@ -41,6 +49,6 @@ def commit(manifest: DataFrame, home: str, name: str) -> DataFrame:
             yield batch
 
     listed = stage(manifest, f"{name}-written")
-    done = rows_by_python(listed, move, listed.schema)
+    done = rows_by_python(spread(listed), move, listed.schema)
     return stage(done.orderBy("file"), f"{name}-manifest").select(
         *[F.col(c) for c in listed.columns if c != "temp"])

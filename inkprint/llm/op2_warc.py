@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkprint.llm.common import batched, few, folder, rows_by_python, running_start, stage, table, tag
-from inkprint.llm.files import commit, make_folder, place
+from inkprint.llm.files import commit, make_folder, place, spread
 
 SHARD_BYTES = 32 << 20
 MAX_SHARDS = 20_000
@@ -166,7 +166,8 @@ def write(pages: DataFrame, home: str, *, min_revisit_bytes: int = 0, shard_byte
         revisits.select("page_id", F.lit(0).alias("kind"), "digest", "keeper",
                         none.cast("string").alias("url"), none.cast("string").alias("html")))
     order = ["shard", "page_id", "kind", "digest", "url"]
-    dealt = both.withColumn("shard", shard_of("page_id")).repartition("shard").sortWithinPartitions(*order)
+    dealt = both.withColumn("shard", shard_of("page_id")).repartition(
+        max(1, len(cuts)), "shard").sortWithinPartitions(*order)
     return commit(dealt.mapInPandas(_writer(home, roll_bytes), MANIFEST), home, "warc")
 
 
@@ -225,7 +226,7 @@ def read(manifest: DataFrame, home: str) -> DataFrame:
                             rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return rows_by_python(manifest.select("file").repartition("file"), work, RECORD)
+    return rows_by_python(spread(manifest.select("file")), work, RECORD)
 
 
 def op2_warc(spark: SparkSession, sf: str) -> DataFrame:

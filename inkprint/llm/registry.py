@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("op2_warc", "op5_line_frequency")
+MODULES = ("op2_warc", "op5_line_frequency", "op9_secrets")
 
 
 def _merged(attribute: str) -> dict:
