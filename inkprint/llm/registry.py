@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("op2_warc", "op5_line_frequency", "op9_secrets")
+MODULES = ("op2_warc", "op3_repair", "op5_line_frequency", "op6_ngram_join", "op8_language",
+           "op9_secrets", "op10_quality")
 
 
 def _merged(attribute: str) -> dict:
