@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkprint.llm import op3_repair, op4_mixing, op5_line_frequency, op6_ngram_join, op7_tiling
 from inkprint.llm.common import folder, table
@@ -19,7 +20,7 @@ MIX = {
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Frequent lines go, and documents that fail the rules or have too little left."""
-    return op5_line_frequency.cleaned(docs)
+    return op5_line_frequency.cleaned(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,12 @@ def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """A written copy (_at, _doc): a number per row, and the row itself whatever its columns are called."""
+    return stage(docs.select(F.monotonically_increasing_id().alias("_at"),
+                             F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")), name)
+
+
 def running_start(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """``df`` with the sum of ``value`` over all rows that sort before each row.
 

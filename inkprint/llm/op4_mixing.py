@@ -128,7 +128,7 @@ def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGET
     rows = stage(measured(docs), "mix-rows")
     # Equal ids share their fate unless their cells differ; the largest probability then counts.
     kept = mixed(rows, targets, budget, seed).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
 
 
 def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import filled, stage, table
+from inkprint.llm.common import filled, numbered, stage, table
 
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -133,14 +133,15 @@ def cleaned(docs: DataFrame, *, host: str = "source", text: str = "text", **limi
 
     Rows get a number in a written copy, so that equal ids stay apart.
     """
-    numbered = stage(docs.withColumn("_at", F.monotonically_increasing_id()), "line-texts")
-    verdict = line_frequency(numbered, host=host, text=text, keep=("_at",), **limits).where("kept").select(
-        "_at", "removed")
-    left = F.array_join(F.transform(F.filter(
-        F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("i"))),
-        lambda x: ~F.array_contains(F.col("removed"), x["i"])), lambda x: x["line"]), "\n")
-    return numbered.join(verdict, "_at").withColumn(
-        text, F.when(F.size("removed") > 0, left).otherwise(F.col(text))).select(*docs.columns)
+    rows = numbered(docs, "line-texts")
+    verdict = line_frequency(rows.select("_at", F.col(f"_doc.{host}").alias("host"), F.col(f"_doc.{text}").alias("text")),
+                             host="host", text="text", keep=("_at",), **limits).where("kept").select("_at", "removed")
+    lines = F.transform(F.split(F.col(f"_doc.{text}"), "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("i")))
+    left = F.array_join(F.transform(F.filter(lines, lambda x: ~F.array_contains(F.col("removed"), x["i"])),
+                                    lambda x: x["line"]), "\n")
+    return rows.join(verdict, "_at").select(*[
+        F.when(F.size("removed") > 0, left).otherwise(F.col(f"_doc.{c}")).alias(c) if c == text
+        else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_line_frequency(spark: SparkSession, sf: str) -> DataFrame:

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import connected, few, rows_by_python, stage, table
+from inkprint.llm.common import connected, few, numbered, rows_by_python, stage, table
 from inkprint.llm.words import mix, shingle_hashes, word_hashes
 
 FREQUENT = 50
@@ -361,13 +361,12 @@ def representatives(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
 
     Of rows with the same id and equal words one stays; documents without words stay.
     """
-    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "ngram-texts")
-    found = components(numbered.select(F.col("_row").alias("doc_id"), "text"), k=k, num=num, den=den)
-    ids = numbered.select("_row", F.col("doc_id").alias("_id"))
-    placed = found.select(F.col("doc_id").alias("_row"), "component_id").join(ids, "_row")
-    kept = placed.groupBy("component_id").agg(F.min(F.struct(
-        F.col("_id").isNull().alias("unknown"), "_id", "_row"))["_row"].alias("_row")).select("_row")
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows = numbered(docs, "ngram-texts")
+    found = components(rows.select(F.col("_at").alias("doc_id"), F.col("_doc.text").alias("text")), k=k, num=num, den=den)
+    ids = rows.select("_at", F.col("_doc.doc_id").alias("_id"))
+    kept = found.select(F.col("doc_id").alias("_at"), "component_id").join(ids, "_at").groupBy("component_id").agg(
+        F.min(F.struct(F.col("_id").isNull().alias("unknown"), "_id", "_at"))["_at"].alias("_at")).select("_at")
+    return rows.join(kept, "_at", "left_semi").select("_doc.*")
 
 
 def op6_ngram_join(spark: SparkSession, sf: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import filled, rows_by_python, running_start, stage, table
+from inkprint.llm.common import filled, numbered, rows_by_python, running_start, stage, table
 from inkprint.llm.words import bounds, hashes, shingle_hashes, slices
 
 SEED_WORDS = 5
@@ -177,10 +177,10 @@ def _against(docs: DataFrame, held: list[tuple], k: int, coverage: float) -> Dat
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without those that cover an item; columns and other rows as they were."""
-    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "tiling-texts")
-    bad = tiled(numbered.select(F.col("_row").alias("doc_id"), "text"), items, **options).select(
-        F.col("doc_id").alias("_row")).distinct()
-    return numbered.join(stage(bad, "tiling-found"), "_row", "left_anti").select(*docs.columns)
+    rows = numbered(docs, "tiling-texts")
+    bad = tiled(rows.select(F.col("_at").alias("doc_id"), F.col("_doc.text").alias("text")), items, **options).select(
+        F.col("doc_id").alias("_at")).distinct()
+    return rows.join(stage(bad, "tiling-found"), "_at", "left_anti").select("_doc.*")
 
 
 def op7_tiling(spark: SparkSession, sf: str) -> DataFrame:
