@@ -18,7 +18,7 @@ Candidates. Large groups of near copies share their signatures, so pairs inside
 bucket are not spelt out. First every member meets the bucket's most central member
 (fewest rare tokens). Verified links are joined to components. Then only members
 outside of the central member's component meet the rest of the bucket, in blocks of
-bounded size, and only members of other components; sizes and counts of tokens in 32
+bounded size, and only members of other components; sizes and counts of tokens in 128
 hash ranges, an exact bound of the overlap, drop most pairs before any set is read.
 A pair that is never compared lies in one component already.
 
@@ -49,7 +49,7 @@ FREQUENT = 50
 LOCAL = 3
 COUNTED_TOKENS = 4_000_000
 MAX_FREQUENT = 1_000_000
-RANGES = 32
+RANGES = 128
 BLOCK = 2_000
 
 
@@ -66,13 +66,14 @@ def node_of(tokens: np.ndarray, seed: int) -> int:
 
 
 def ranges(tokens: np.ndarray) -> bytes:
-    counts = np.bincount((tokens >> np.uint64(59)).astype(np.int64), minlength=RANGES)
-    return counts.astype("<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
+    counts = np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=RANGES)
+    most = counts.max(initial=0)
+    return counts.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
 
 
 def _unranged(column: pa.Array) -> np.ndarray:
-    return np.array([np.frombuffer(x, "<u2" if len(x) == 2 * RANGES else "<u4") for x in column.to_pylist()],
-                    np.int64).reshape(-1, RANGES)
+    return np.array([np.frombuffer(x, f"<u{len(x) // RANGES}") for x in column.to_pylist()],
+                    np.int32).reshape(-1, RANGES)
 
 
 def overlap_needed(total: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -322,11 +323,12 @@ def components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, se
     rank = -np.arange(len(frequent))
     order = np.argsort(frequent)
     posted = rows_by_python(texts, _post(k, seed, num, den, frequent[order], rank[order]), POSTED)
-    buckets = posted.groupBy("sig").agg(
-        F.count("*").alias("members"), F.min("node").alias("_low"), F.max("node").alias("_high"),
-        F.min(F.struct("spread", "node", "n")).alias("central")).where("_low <> _high").select(
-        "sig", "members", F.col("central.node").alias("center"), F.col("central.n").alias("center_n"))
-    met = stage(posted.join(buckets, "sig"), f"{name}-met")
+    shared = posted.groupBy("sig").agg(F.count("*").alias("members"), F.min("node").alias("_low"),
+                                       F.max("node").alias("_high")).where("_low <> _high").select("sig", "members")
+    shared = stage(posted.join(shared, "sig"), f"{name}-shared")
+    central = shared.groupBy("sig").agg(F.min(F.struct("spread", "node", "n")).alias("c")).select(
+        "sig", F.col("c.node").alias("center"), F.col("c.n").alias("center_n"))
+    met = shared.join(central, "sig")
     star = met.where(F.col("node") != F.col("center")).where(
         (F.col("n") * den >= F.col("center_n") * num) & (F.col("center_n") * den >= F.col("n") * num))
     star = star.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
