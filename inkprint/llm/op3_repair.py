@@ -39,34 +39,64 @@ from inkprint.llm.files import commit, make_folder, place, spread
 SHARD_TOKENS = 2_000_000
 MIN_COUNT = 32
 ROUNDS = 5
-CACHED_PIECES = 500_000
+BUCKET_BITS = 18
+CACHED_PIECES = 600_000
 END_ID = 0
 MAGIC = b"RPG1"
 MANIFEST = "part int, number int, temp string, file string, docs long, tokens long, symbols long, rules long, file_bytes long"
 DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 _APART = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|^\s|\s\Z")
 _UNSURE = re.compile("[\x1c-\x1f]")  # space for one regex library, not for another
-_PLAIN = re.compile(r"( ?[^\W\d_]+)([.,!?;:%$#*&|<>]+)")
+_MARKS = ".,!?;:%$#*&|<>"
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> str:
     """The letter that byte-level BPE writes for each byte: printable bytes stay."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return "".join(chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256))
 
 
-class _Cache(dict):
-    def __init__(self, make):
+class _Awkward(Exception):
+    """A piece with space at an edge: the text needs the slower way to cut it."""
+
+
+class _Pieces(dict):
+    """Ids of pieces by what stands after ``lead``; when full, those unused since the last time go."""
+
+    def __init__(self, encoder: Encoder, lead: str):
         super().__init__()
-        self.make = make
+        self.encoder, self.lead, self.old = encoder, lead, {}
 
     def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece) or self.made(piece)
         if len(self) >= CACHED_PIECES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+    def made(self, piece: str) -> bytes:
+        word = piece.rstrip(_MARKS)
+        if word.isalpha():
+            if len(word) == len(piece):
+                return self.encoder.word(self.lead + word)
+            return self[word] + self.encoder.other[piece[len(word):]]
+        if not piece or piece[0].isspace() or piece[-1].isspace() or _UNSURE.search(piece):
+            raise _Awkward
+        return self.encoder.mixed(piece, self.lead)
+
+
+class _Others(dict):
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHED_PIECES // 4:
             self.clear()
-        found = self[piece] = self.make(piece)
+        found = self[piece] = self.encoder.whole(piece)
         return found
 
 
@@ -77,36 +107,37 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        self.core = _Cache(self._core)
-        self.first = _Cache(self._piece)
-        self.rest = _Cache(lambda piece: self._piece(f" {piece}"))
+        self.letters = dict(enumerate(_byte_letters()))
+        self.first, self.rest, self.other = _Pieces(self, ""), _Pieces(self, " "), _Others(self)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _core(self, core: str) -> bytes:
-        if core.lstrip(" ").isalpha():  # one word, hence one unit for the model
-            spelt = "".join([self.letters[b] for b in core.encode()])
-            return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-        return self.whole(core)
-
-    def _piece(self, piece: str) -> bytes:
-        if "\n" in piece and not _ODD.search(piece.removeprefix(" ")):
-            parts = piece.split("\n")
-            return self.core["\n"].join([self._piece(parts[0]), *(self.first[p] for p in parts[1:])])
-        plain = _PLAIN.fullmatch(piece)
-        if plain:
-            return self.core[plain[1]] + self.core[plain[2]]
-        return self.core[piece]
+    def word(self, word: str) -> bytes:
+        """One word, with or without its blank, is one unit for the model."""
+        spelt = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def mixed(self, piece: str, lead: str) -> bytes:
+        """A piece of more than a word and marks; single line ends part it further."""
+        parts = piece.split("\n")
+        if len(parts) > 1 and all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
+            head = self.rest[parts[0]] if lead else self.first[parts[0]]
+            return self.other["\n"].join([head, *(self.first[p] for p in parts[1:])])
+        return self.other[lead + piece]
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
+        pieces = text.split(" ")
+        try:
+            return self.first[pieces[0]] + b"".join(map(self.rest.__getitem__, pieces[1:]))
+        except _Awkward:
+            pass
         if _UNSURE.search(text):
             return self.whole(text)
-        pieces = _APART.split(text) if _ODD.search(text) else text.split(" ")
-        return self.first[pieces[0]] + b"".join(map(self.rest.__getitem__, pieces[1:]))
+        pieces = _APART.split(text)
+        return self.other[pieces[0]] + b"".join([self.other[f" {p}"] for p in pieces[1:]])
 
 
 def compress(ids: np.ndarray, last: np.ndarray, min_count: int = MIN_COUNT, rounds: int = ROUNDS):
@@ -119,19 +150,19 @@ def compress(ids: np.ndarray, last: np.ndarray, min_count: int = MIN_COUNT, roun
         total = len(terminals) + len(rules)
         # Pairs meet in hashed buckets; a bucket stands for the pair written to it last,
         # and other pairs in it wait for a later round, where buckets differ.
-        kind, spin, shift = ((np.uint32, 2654435769, 12) if total <= 1 << 16 else
-                             (np.uint64, 0x9E3779B97F4A7C15, 44))
+        kind, spin, shift = ((np.uint32, 2654435769, 32 - BUCKET_BITS) if total <= 1 << 16 else
+                             (np.uint64, 0x9E3779B97F4A7C15, 64 - BUCKET_BITS))
         code = seq[:-1].astype(kind) * kind(total) + seq[1:]
         bucket = ((code * kind(spin)) >> kind(shift)).astype(np.uint32)
         inside = np.flatnonzero(~last[:-1])
         code, bucket = code[inside], bucket[inside]
-        often = (np.bincount(bucket, minlength=1 << 20) >= min_count)[bucket]
+        often = (np.bincount(bucket, minlength=1 << BUCKET_BITS) >= min_count)[bucket]
         code, bucket, at = code[often], bucket[often], inside[often]
-        owner = np.zeros(1 << 20, kind)
+        owner = np.zeros(1 << BUCKET_BITS, kind)
         owner[bucket] = code
         own = owner[bucket] == code
         code, bucket, at = code[own], bucket[own], at[own]
-        counts = np.bincount(bucket, minlength=1 << 20)
+        counts = np.bincount(bucket, minlength=1 << BUCKET_BITS)
         full = np.flatnonzero(counts >= min_count)
         full = full[np.lexsort((owner[full], -counts[full]))]
         role = [0] * total  # 1 left, 2 right, 3 both parts of its own pair
@@ -148,7 +179,7 @@ def compress(ids: np.ndarray, last: np.ndarray, min_count: int = MIN_COUNT, roun
             parts.append((a, b))
         if not chosen:
             break
-        symbol = np.zeros(1 << 20, np.uint32)
+        symbol = np.zeros(1 << BUCKET_BITS, np.uint32)
         symbol[chosen] = total + np.arange(len(chosen))
         new = symbol[bucket]
         at, new = at[new > 0], new[new > 0]
