@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import rows_by_python, stage, table
+from inkprint.llm.common import rows_by_python, stage, table, tag
 
-FIT_ROWS = 20_000
-MAX_WORDS = 200_000
-MAX_GRAMS = 200_000
+FIT_ROWS = 8_000
+MAX_WORDS = 100_000
+MAX_GRAMS = 100_000
 LONGEST = 4
 CACHED = 200_000
 EVIDENCE_WORDS = 20
@@ -67,25 +67,31 @@ def _cut(marked, size: int):
     return F.filter(found, lambda g: F.length(g) == size)
 
 
-def _table(counts: DataFrame, languages: list[str], most: int) -> dict[str, np.ndarray]:
-    """Log frequencies by language of the most frequent words; unseen pairs count half."""
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+def _table(counts: DataFrame, languages: list[str], most: int) -> tuple[str, np.ndarray]:
+    """Log frequencies by language of the most frequent words; unseen pairs count half.
+
+    Words come as one string, a line each, next to a matrix with a row per word.
+    """
+    top = stage(counts.groupBy("word").agg(F.sum("n").alias("n"), F.map_from_entries(
+        F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy(F.desc("n"), "word").limit(most), "language-top")
     by = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    kept = counts.join(F.broadcast(top.select("word")), "word").groupBy("word").agg(
-        F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n")).collect()
-    totals = np.array([by.get(x, 0) for x in languages], np.float64) + 0.5 * most
-    out = {}
-    for r in kept:
-        row = np.log((np.array([r["n"].get(x, 0) for x in languages], np.float64) + 0.5) / totals)
-        out[r["word"]] = (row - row.max()).astype(np.float32)
-    return out
+    got = top.select("word", F.array(*[F.coalesce(F.col("by")[F.lit(x)], F.lit(0)) for x in languages]).alias(
+        "n")).toArrow() if languages else None
+    if got is None or not got.num_rows:
+        return "", np.zeros((0, len(languages)), np.float32)
+    n = np.asarray(got.column("n").combine_chunks().flatten(), np.float64).reshape(-1, len(languages))
+    row = np.log((n + 0.5) / (np.array([by.get(x, 0) for x in languages], np.float64) + 0.5 * most))
+    return "\n".join(got.column("word").to_pylist()), (row - row.max(1, keepdims=True)).astype(np.float32)
 
 
 class Scorer:
     """Adds up the scores of a text's words, through a bounded cache of its pieces."""
 
     def __init__(self, model: dict):
-        self.languages, self.words, self.grams = model["languages"], model["words"], model["grams"]
+        self.languages = model["languages"]
+        (words, self.by_word), (grams, self.by_gram) = model["words"], model["grams"]
+        self.words = {w: i for i, w in enumerate(words.split("\n"))} if words else {}
+        self.grams = {g: i for i, g in enumerate(grams.split("\n"))} if grams else {}
         self.letters = re.compile(r"[^\W\d_]+")
         self.rows = np.zeros((CACHED + 1, len(self.languages)), np.float32)
         self.heard = np.zeros(CACHED + 1, np.int64)  # words with a letter in the piece
@@ -94,13 +100,13 @@ class Scorer:
     def word(self, word: str) -> np.ndarray | None:
         found = self.words.get(word)
         if found is not None:
-            return found
+            return self.by_word[found]
         marked = f"<{word}>"
         for size in range(LONGEST, 0, -1):
             known = [g for i in range(len(marked) - size + 1)
                      if (g := self.grams.get(marked[i:i + size])) is not None]
             if known:
-                return np.mean(known, 0)
+                return self.by_gram[known].mean(0)
         return None
 
     def __call__(self, text: str | None) -> tuple[str, float]:
@@ -140,17 +146,23 @@ class _Places(dict):
         at = self[piece] = len(self)
         words = self.scorer.letters.findall(piece.lower())
         scores = [s for w in words if (s := self.scorer.word(w)) is not None]
-        self.scorer.rows[at] = np.sum(scores, 0) if scores else 0
+        self.scorer.rows[at] = scores[0] if len(scores) == 1 else np.sum(scores, 0) if scores else 0
         self.scorer.heard[at] = len(words)
         return at
 
 
+_scorers: dict[str, Scorer] = {}
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, name = docs.sparkSession.sparkContext.broadcast(model), tag()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        if name not in _scorers:  # kept by the worker for its next tasks
+            _scorers.clear()
+            _scorers[name] = Scorer(held.value)
+        scorer = _scorers[name]
         for batch in batches:
             found = [scorer(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
