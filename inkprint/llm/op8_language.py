@@ -10,7 +10,7 @@ get hold the ``max_words`` and ``max_grams`` most frequent entries. These three
 the model whatever the size of the corpus.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no
-labelled document every text is; ties go to the language first in the alphabet; rows
+labelled document every text is; letters of an unknown script leave all languages equal; ties go to the language first in the alphabet; rows
 with equal ids are scored one by one; other columns are ignored.
 """
 
@@ -144,7 +144,8 @@ class _Places(dict):
 
     def __missing__(self, piece: str) -> int:
         at = self[piece] = len(self)
-        words = self.scorer.letters.findall(piece.lower())
+        words = [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in self.scorer.letters.findall(piece.lower())]
+        words = list(filter(None, words))
         scores = [s for w in words if (s := self.scorer.word(w)) is not None]
         self.scorer.rows[at] = scores[0] if len(scores) == 1 else np.sum(scores, 0) if scores else 0
         self.scorer.heard[at] = len(words)
