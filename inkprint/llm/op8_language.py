@@ -103,8 +103,9 @@ class Scorer:
             return self.by_word[found]
         marked = f"<{word}>"
         for size in range(LONGEST, 0, -1):
-            known = [g for i in range(len(marked) - size + 1)
-                     if (g := self.grams.get(marked[i:i + size])) is not None]
+            cut = marked if size > 1 else word  # the marks alone say nothing
+            known = [g for i in range(len(cut) - size + 1)
+                     if (g := self.grams.get(cut[i:i + size])) is not None]
             if known:
                 return self.by_gram[known].mean(0)
         return None
