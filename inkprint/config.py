@@ -23,7 +23,7 @@ class CorpusConfig:
 @dataclass(frozen=True)
 class GenreConfig:
     samples_per_class: int = 20_000
-    max_tokens: int = 256
+    max_tokens: int | None = None  # whole texts; a number cuts them
     max_chars: int = 1_500
     hash_features: int = 1 << 16
     val_ratio: float = 0.1
@@ -50,7 +50,7 @@ class StyloConfig:
 
 @dataclass(frozen=True)
 class SemanticConfig:
-    max_tokens: int = 512
+    max_tokens: int | None = None  # whole texts; a number cuts them
     hash_features: int = 1 << 18
     max_iter: int = 50
     reg: float = 1e-3
@@ -60,7 +60,7 @@ class SemanticConfig:
 class RatioConfig:
     """Cross-perplexity of two counted n-gram models."""
 
-    max_tokens: int = 512
+    max_tokens: int | None = None  # whole texts; a number cuts them
     bigram_weight: float = 0.7
     trigram_weight: float = 0.7
     floor: float = 1e-6

@@ -14,34 +14,41 @@ FILLER_PHRASES = (
     "great question", "that's a great",
 )
 
-# Hedge words.
+# Hedge words, in published order.
 HEDGE_WORDS = (
-    "perhaps possibly probably generally typically usually often sometimes "
-    "certain various numerous significant important key crucial essential "
-    "effective efficient relevant appropriate"
-).split()
+    "perhaps", "possibly", "probably", "generally", "typically",
+    "usually", "often", "sometimes", "certain", "various",
+    "numerous", "significant", "important", "key", "crucial",
+    "essential", "effective", "efficient", "relevant", "appropriate",
+)
 
-# Function words.
+# Function words, in published order.
 FUNCTION_WORDS = (
-    "the a an is are was were be been have has had do does did will would "
-    "could should may might shall can need and or but if then because so yet "
-    "for nor not in on at to of by with about against between through during "
-    "this that these those it its"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been",
+    "have", "has", "had", "do", "does", "did", "will", "would",
+    "could", "should", "may", "might", "shall", "can", "need",
+    "and", "or", "but", "if", "then", "because", "so", "yet",
+    "for", "nor", "not", "in", "on", "at", "to", "of", "by",
+    "with", "about", "against", "between", "through", "during",
+    "this", "that", "these", "those", "it", "its",
+)
 
-# Personal pronouns.
+# Personal pronouns, in published order.
 PERSONAL_PRONOUNS = (
-    "i me my mine myself we us our ours ourselves you your yours yourself "
-    "yourselves"
-).split()
+    "i", "me", "my", "mine", "myself",
+    "we", "us", "our", "ours", "ourselves",
+    "you", "your", "yours", "yourself", "yourselves",
+)
 
-# Transition words. Two more entries of the published list,
-# "in addition" and "on the other hand", hold spaces and so never equal a token.
+# Transition words, in published order. The two entries with
+# blanks never equal a token, so they count nothing.
 TRANSITION_WORDS = (
-    "first second third finally lastly additionally furthermore moreover "
-    "however nevertheless therefore thus consequently hence meanwhile "
-    "subsequently accordingly"
-).split()
+    "first", "second", "third", "finally", "lastly",
+    "additionally", "furthermore", "moreover", "however",
+    "nevertheless", "in addition", "on the other hand",
+    "therefore", "thus", "consequently", "hence",
+    "meanwhile", "subsequently", "accordingly",
+)
 
 # Sentence openers, matched as prefixes.
 LIST_STARTERS = (
@@ -53,17 +60,23 @@ LIST_STARTERS = (
 # The [a-z]+ entries of Spark's English stop list (entries with
 # an apostrophe can never equal a token). A test compares the two.
 STOP_WORDS = (
-    "i me my myself we our ours ourselves you your yours yourself yourselves "
-    "he him his himself she her hers herself it its itself they them their "
-    "theirs themselves what which who whom this that these those am is are "
-    "was were be been being have has had having do does did doing a an the "
-    "and but if or because as until while of at by for with about against "
-    "between into through during before after above below to from up down in "
-    "out on off over under again further then once here there when where why "
-    "how all any both each few more most other some such no nor not only own "
-    "same so than too very s t can will just don should now cannot could "
-    "ought would"
-).split()
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you",
+    "your", "yours", "yourself", "yourselves", "he", "him", "his",
+    "himself", "she", "her", "hers", "herself", "it", "its", "itself",
+    "they", "them", "their", "theirs", "themselves", "what", "which", "who",
+    "whom", "this", "that", "these", "those", "am", "is", "are", "was",
+    "were", "be", "been", "being", "have", "has", "had", "having", "do",
+    "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or",
+    "because", "as", "until", "while", "of", "at", "by", "for", "with",
+    "about", "against", "between", "into", "through", "during", "before",
+    "after", "above", "below", "to", "from", "up", "down", "in", "out",
+    "on", "off", "over", "under", "again", "further", "then", "once",
+    "here", "there", "when", "where", "why", "how", "all", "any", "both",
+    "each", "few", "more", "most", "other", "some", "such", "no", "nor",
+    "not", "only", "own", "same", "so", "than", "too", "very", "s", "t",
+    "can", "will", "just", "don", "should", "now", "cannot", "could",
+    "ought", "would",
+)
 
 # Genre classes in label order; the first two count as formal.
 GENRES = ("encyclopedic", "academic", "informal", "general")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from inkprint.config import CorpusConfig
 from inkprint.functions import text
+from inkprint.operators import langid
 from inkprint.operators.ranking import cut_keys, keep_lowest, sample_key
 from inkprint.session import materialise
 
-ID_SPAN = 1 << 53  # room for ids below each source rank in an order key
+ID_SPAN = 1 << 63  # every BIGINT id has room below each source rank in an order key
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:
@@ -23,8 +25,12 @@ def union_sources(frames: list[DataFrame]) -> DataFrame:
 
 
 def load_order(rank_col: str = "source_rank", id_col: str = "doc_id") -> Column:
-    """One BIGINT that sorts by source rank, then id."""
-    return (F.col(rank_col) * F.lit(ID_SPAN) + F.col(id_col)).cast("bigint")
+    """One whole number that sorts by source rank, then id; no two pairs meet.
+
+    A decimal of fixed width, so aggregates of it stay hash aggregates.
+    """
+    wide = F.col(rank_col).cast("decimal(18,0)") * F.lit(Decimal(ID_SPAN)).cast("decimal(19,0)")
+    return (wide + F.col(id_col).cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def with_fingerprint(df: DataFrame, col: str = "text") -> DataFrame:
@@ -34,7 +40,7 @@ def with_fingerprint(df: DataFrame, col: str = "text") -> DataFrame:
 def keep_first(df: DataFrame, order_key: Column, fp: str = "fp") -> DataFrame:
     """Of rows sharing a fingerprint keep the one loaded first.
 
-    The aggregate moves digests and one BIGINT, combined before the shuffle, so
+    The aggregate moves digests and one number, combined before the shuffle, so
     a digest shared by a third of all rows is one row per task. Joining back on
     the unique order key, not the digest, keeps that join even.
     """
@@ -86,7 +92,7 @@ def fill_quota(df: DataFrame, quota: int, group: str = "label",
                rank_col: str = "source_rank", seed: int = 42,
                id_col: str = "doc_id", groups: list | None = None) -> DataFrame:
     """Up to ``quota`` rows per group, earlier sources first."""
-    key = F.concat(F.lpad(F.col(rank_col).cast("string"), 4, "0"),
+    key = F.concat(F.lpad(F.col(rank_col).cast("string"), 19, "0"),
                    sample_key(f"quota{seed}", id_col))
     # One row per class: the class list is fixed by the caller or counted.
     if groups is None:
@@ -94,7 +100,7 @@ def fill_quota(df: DataFrame, quota: int, group: str = "label",
     else:
         quotas = df.sparkSession.createDataFrame(
             [(g, quota) for g in groups], f"{group} {df.schema[group].dataType.simpleString()}, rank bigint")
-    return keep_lowest(df, group, key, quotas, prefix=8)
+    return keep_lowest(df, group, key, quotas, prefix=23)
 
 
 def _shares(classes: DataFrame, count: str, part: Column, out: str,
@@ -156,8 +162,19 @@ def stratified_split(df: DataFrame, val_ratio: float, test_ratio: float,
     )
 
 
-def build_corpus(sources: list[DataFrame], cfg: CorpusConfig = CorpusConfig()) -> DataFrame:
-    """Union, dedup, balance and split cleaned source frames.
+def speaking(staged: DataFrame, profile: langid.Profile, wanted: tuple[str, ...],
+             key: str = "load_order") -> DataFrame:
+    """Rows in a wanted language; text without a known trigram passes, as where a detector gives up."""
+    found = langid.detect(staged.select(key, "text"), profile, key=key)
+    other = found.where(~F.col("detected").isin(*wanted)).select(key)
+    return staged.join(other, key, "left_anti")
+
+
+def build_corpus(sources: list[DataFrame], cfg: CorpusConfig = CorpusConfig(),
+                 profile: langid.Profile | None = None, languages: tuple[str, ...] = ("en",)) -> DataFrame:
+    """Union, filter by language, dedup, balance and split cleaned source frames.
+
+    With a language profile, rows the detector finds in another language go.
 
     Cleaned text is written once, which also freezes the load order. Dedup,
     sampling and splitting then work on (order, digest, label) alone, keyed on
@@ -166,10 +183,11 @@ def build_corpus(sources: list[DataFrame], cfg: CorpusConfig = CorpusConfig()) -
     """
     staged = materialise(
         with_fingerprint(union_sources(sources)).withColumn("load_order", load_order()), "clean")
-    slim = staged.groupBy("fp").agg(
-        F.min("load_order").alias("load_order"),
-        F.min_by("label", "load_order").alias("label"))
-    unique = materialise(slim, "unique")
+    if profile is not None:
+        staged = materialise(speaking(staged, profile, languages), "spoken")
+    first = staged.groupBy("fp").agg(F.min("load_order").alias("load_order")).select("load_order")
+    unique = materialise(
+        staged.select("fp", "load_order", "label").join(first, "load_order", "left_semi"), "unique")
     sample = materialise(
         balanced_sample(unique, cfg.total_samples, cfg.seed, id_col="fp"), "sample")
     chosen = stratified_split(sample, cfg.val_ratio, cfg.test_ratio, cfg.seed, id_col="fp")

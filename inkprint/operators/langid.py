@@ -1,20 +1,21 @@
 """Language identification from character trigrams, in the role of a detector.
 
-A profile holds the most frequent trigrams of each language, a fixed number, so
-the table that is broadcast has a known size whatever the corpus: at most
-PROFILE_SIZE * languages grams, each with one number per language.
+The profile is a table of all trigrams of the fitting text with, per language that
+has it, the add-one log count. Languages are rows; only their totals, one number
+each, reach the driver. The table is joined like any other: the planner broadcasts
+it where it is small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.session import materialise
 
-PROFILE_SIZE = 1_000
-HEAD_CHARS = 500
-MAX_LANGUAGES = 200
+HEAD_CHARS = 500  # fixed value: the detector reads the first 500 characters
 
 
 def trigrams(c: Column, head: int = HEAD_CHARS) -> Column:
@@ -24,42 +25,50 @@ def trigrams(c: Column, head: int = HEAD_CHARS) -> Column:
         F.lit("(?s)(?=(...))."), F.lit(1))
 
 
-def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
-        size: int = PROFILE_SIZE) -> DataFrame:
-    """The profile: ``gram`` and a column ``lang_CODE`` of add-one log
-    probabilities over the joint vocabulary for each language."""
+@dataclass
+class Profile:
+    """``grams``: (gram, seen), seen holding (lang, w) with w = ln(count + 1).
+
+    ``floors`` gives per language the log probability of a gram it never had.
+    """
+
+    grams: DataFrame
+    floors: list[tuple[str, float]]
+
+
+def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Profile:
+    """Add-one log probabilities over the joint vocabulary of all languages."""
     counts = materialise(
         df.where(F.col(lang_col).isNotNull()).select(
             F.col(lang_col).alias("lang"), F.explode_outer(trigrams(F.col(text_col))).alias("gram"))
         .where(F.col("gram").isNotNull()).groupBy("lang", "gram").agg(F.count("*").alias("c")), "grams")
-    order = Window.partitionBy("lang").orderBy(F.desc("c"), "gram")
-    top = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= size)
-    langs = [r["lang"] for r in counts.select("lang").distinct().orderBy("lang").limit(
-        MAX_LANGUAGES + 1).collect()]
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang_col}")
-    # From here on: at most size rows per language. The pivot fills in pairs never seen.
-    kept = counts.join(F.broadcast(top.select("gram").distinct()), "gram")
-    wide = materialise(kept.groupBy("gram").pivot("lang", langs).agg(F.sum("c")).fillna(0), "profile")
-    total = wide.agg(F.count("*").alias("n"), *[F.sum(f"`{x}`").alias(f"t{i}") for i, x in enumerate(langs)]).first()
-    return wide.select("gram", *[
-        F.log((F.col(f"`{x}`") + 1.0) / F.lit(float((total[f"t{i}"] or 0) + total["n"]))).alias(f"lang_{x}")
-        for i, x in enumerate(langs)])
-
-
-def detect(df: DataFrame, profile: DataFrame, text_col: str = "text",
+    grams = materialise(counts.groupBy("gram").agg(F.collect_list(
+        F.struct("lang", F.log(F.col("c") + 1.0).alias("w"))).alias("seen")), "profile")
+    size = grams.count()
+    floors = counts.groupBy("lang").agg((-F.log(F.sum("c") + F.lit(float(size)))).alias("floor"))
+    return Profile(grams, sorted((r["lang"], r["floor"]) for r in floors.collect()))
+
+
+def detect(df: DataFrame, profile: Profile, text_col: str = "text",
            key: str = "doc_id") -> DataFrame:
     """(key, detected): most likely language, null when no trigram is known.
 
-    Triples of a document leave one task together, so the partial sums shrink
-    them to one row per document before anything is shuffled.
+    A document's distinct triples with their counts are joined with the profile;
+    what comes back is summed per document and language.
     """
-    langs = [c for c in profile.columns if c != "gram"]
+    if not profile.floors:
+        return df.select(key, F.lit(None).cast("string").alias("detected"))
     # Outer explode: the inner one would compute the triples twice, once to filter.
-    hits = df.select(key, F.explode_outer(trigrams(F.col(text_col))).alias("gram")).join(
-        F.broadcast(profile), "gram")
-    scores = hits.groupBy(key).agg(*[F.sum(f"`{c}`").alias(c) for c in langs])
-    best = F.array_max(F.array(*[
-        F.struct(F.round(f"`{c}`", 6).alias("score"), F.lit(c.removeprefix("lang_")).alias("lang"))
-        for c in langs]))
-    return df.select(key).join(scores.select(key, best["lang"].alias("detected")), key, "left")
+    own = df.select(key, F.explode_outer(trigrams(F.col(text_col))).alias("gram")).where(
+        F.col("gram").isNotNull()).groupBy(key, "gram").agg(F.count("*").alias("k"))
+    hits = own.join(profile.grams, "gram")
+    total = hits.groupBy(key).agg(F.sum("k").alias("n"))
+    sums = hits.select(key, "k", F.inline("seen")).groupBy(key, "lang").agg(
+        F.sum(F.col("k") * F.col("w")).alias("s")).groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("lang", "s"))).alias("sums"))
+    floors = F.array(*[F.struct(F.lit(x).alias("lang"), F.lit(f).alias("floor")) for x, f in profile.floors])
+    best = F.array_max(F.transform(floors, lambda x: F.struct(F.round(
+        F.coalesce(F.col("sums")[x["lang"]], F.lit(0.0)) + F.col("n") * x["floor"], 6).alias("score"),
+        x["lang"].alias("lang"))))
+    scored = total.join(sums, key).select(key, best["lang"].alias("detected"))
+    return df.select(key).join(scored, key, "left")

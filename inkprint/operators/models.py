@@ -23,9 +23,10 @@ from inkprint.functions import text
 from inkprint.functions.lexicons import FEATURE_NAMES, FORMAL_GENRES, GENRES
 
 
-def tokens_and_pairs(df: DataFrame, text_col: str, max_tokens: int) -> DataFrame:
-    """Add ``_terms``: the first tokens and their bigrams."""
-    t = F.slice(text.ws_tokens(F.lower(F.coalesce(text_col, F.lit("")))), 1, max_tokens)
+def tokens_and_pairs(df: DataFrame, text_col: str, max_tokens: int | None) -> DataFrame:
+    """Add ``_terms``: the tokens, all or the first ones, and their bigrams."""
+    t = text.ws_tokens(F.lower(F.coalesce(text_col, F.lit(""))))
+    t = t if max_tokens is None else F.slice(t, 1, max_tokens)
     d = df.withColumn("_tokens", t)
     return d.withColumn("_terms", F.concat("_tokens", text.word_bigrams(F.col("_tokens")))).drop("_tokens")
 
@@ -43,7 +44,7 @@ class TextModel:
     """Hashed unigrams and bigrams, inverse document frequency, logistic regression."""
 
     pipeline: PipelineModel
-    max_tokens: int
+    max_tokens: int | None
 
     def probabilities(self, df: DataFrame, out: str, text_col: str = "text") -> DataFrame:
         d = self.pipeline.transform(tokens_and_pairs(df, text_col, self.max_tokens))
@@ -53,11 +54,11 @@ class TextModel:
         self.pipeline.write().overwrite().save(path)
 
     @classmethod
-    def load(cls, path: str, max_tokens: int) -> TextModel:
+    def load(cls, path: str, max_tokens: int | None) -> TextModel:
         return cls(PipelineModel.load(path), max_tokens)
 
 
-def fit_text_model(df: DataFrame, max_tokens: int, features: int, max_iter: int,
+def fit_text_model(df: DataFrame, max_tokens: int | None, features: int, max_iter: int,
                    reg: float, text_col: str = "text", label: str = "label") -> TextModel:
     d = tokens_and_pairs(df.select(text_col, label), text_col, max_tokens)
     learner = LogisticRegression(

@@ -27,9 +27,10 @@ from inkprint.session import materialise, scratch_path
 START = ""  # stands before a text; never equals a token
 
 
-def grams(df: DataFrame, max_tokens: int, text_col: str = "text", keep=("doc_id",)) -> DataFrame:
+def grams(df: DataFrame, max_tokens: int | None, text_col: str = "text", keep=("doc_id",)) -> DataFrame:
     """(keep..., u, v, w): each token with the two before it."""
-    t = F.slice(text.ws_tokens(F.lower(F.coalesce(text_col, F.lit("")))), 1, max_tokens)
+    t = text.ws_tokens(F.lower(F.coalesce(text_col, F.lit(""))))
+    t = t if max_tokens is None else F.slice(t, 1, max_tokens)
     d = df.select(*keep, t.alias("_t"))
     rest = F.greatest(F.size("_t") - 1, F.lit(0))
     d = d.withColumn("_v", F.concat(F.array(F.lit(START)), F.slice("_t", F.lit(1), rest)))

@@ -148,7 +148,8 @@ class Detector:
         stats = sentence_stats(self.score_sentences(df, key, text_col), key)
         return self.score(df, key, text_col).join(stats, key, "left").withColumns({
             "long_document": F.coalesce(long_document(F.col("n_total")), F.lit(False)),
-            "conflict": score_conflict(F.col("final_prob"), F.coalesce("ai_frac", F.lit(0.0)))})
+            # Without sentences the share is null, which is no conflict.
+            "conflict": score_conflict(F.col("final_prob"), F.col("ai_frac"))})
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()

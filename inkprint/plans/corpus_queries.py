@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.config import CorpusConfig, GenreConfig
@@ -160,10 +163,10 @@ _add("a05_token_lengths",
      f"{r6('avg(CASE WHEN n >= 448 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS truncated_pct "
      f"FROM (SELECT lang, len({tokens_sql('text')})::BIGINT AS n FROM documents) GROUP BY lang")
 _add("a06_signal_distribution",
-     lambda s, sf: _rounded(reports.signal_distribution(scored(s, sf), "semantic"),
-                            "mean", "std", "min", "max"),
-     f"SELECT {r6('avg(semantic)')} AS mean, {r6('stddev_pop(semantic)')} AS std, "
-     f"{r6('min(semantic)')} AS min, {r6('max(semantic)')} AS max FROM ({scored_sql()})")
+     lambda s, sf: reduce(DataFrame.unionByName, [_rounded(reports.signal_distribution(scored(s, sf), x).withColumn(
+         "signal", F.lit(x)), "mean", "std", "min", "max") for x in SIGNALS]),
+     " UNION ALL ".join(f"SELECT '{x}' AS signal, {r6(f'avg({x})')} AS mean, {r6(f'stddev_pop({x})')} AS std, "
+                        f"{r6(f'min({x})')} AS min, {r6(f'max({x})')} AS max FROM ({scored_sql()})" for x in SIGNALS))
 _add("a07_dataset_statistics", lambda s, sf: reports.dataset_statistics(split_turns(s, sf)),
      _SPLIT + ", c AS (SELECT coalesce(split, 'total') AS part, count(*) AS n FROM split_rows GROUP BY ROLLUP (split)) "
      "SELECT part, n, round(100.0::DOUBLE * n / (SELECT count(*) FROM split_rows)) AS pct FROM c")

@@ -12,7 +12,7 @@ from inkprint.operators import corpus, fusion, langid, models, ngram
 from inkprint.operators.scoring import train_detector
 from inkprint.plans.corpus_queries import genre_rows
 from inkprint.plans.sql import (
-    STYLED, clean_sql, documents, h01, h01_col, r6, scored, scored_sql, table, tokens_sql, turns,
+    SIGNALS, STYLED, clean_sql, documents, h01, h01_col, r6, scored, scored_sql, table, tokens_sql, turns,
 )
 from inkprint.plans.text_queries import features_sql
 from inkprint.session import materialise, scratch_path
@@ -146,7 +146,7 @@ def _ratio(s, sf):
 
 _C = RatioConfig()
 _RATIO_SQL = f"""
-WITH tk AS (SELECT doc_id, {tokens_sql('lower(text)')}[1:{_C.max_tokens}] AS t FROM documents),
+WITH tk AS (SELECT doc_id, {tokens_sql('lower(text)')} AS t FROM documents),
 g AS (SELECT doc_id, {_TRAIN} AS fit, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS i, t FROM tk),
 r AS (SELECT doc_id, fit, i, w, CASE WHEN i > 1 THEN t[i - 1] END AS v, CASE WHEN i > 2 THEN t[i - 2] END AS u FROM g),
 f AS (SELECT * FROM r WHERE fit),
@@ -238,14 +238,14 @@ _add("m13_two_signals", *_matrix(["semantic", "stylometric"]))
 
 def _neutral(s, sf):
     d = scored(s, sf)
-    holes = {n: F.when(h01_col(n, "doc_id") >= 0.3, F.col(n)) for n in ("semantic", "ratio", "formality")}
+    holes = {n: F.when(h01_col(n, "doc_id") >= 0.3, F.col(n)) for n in SIGNALS}
     return _rounded(fusion.with_neutral(d.withColumns(holes)).select(
-        "doc_id", "semantic", "ratio", "formality"), "semantic", "ratio", "formality")
+        "doc_id", *SIGNALS), *SIGNALS)
 
 
 _HOLE = lambda n, v: r6(f"coalesce(CASE WHEN {h01(n, 'doc_id')} >= 0.3 THEN {n} END, {v})") + f" AS {n}"
 _add("m15_neutral_values", _neutral,
-     f"SELECT doc_id, {_HOLE('semantic', 0.5)}, {_HOLE('ratio', 1.0)}, {_HOLE('formality', 0.5)} FROM ({scored_sql()})")
+     f"SELECT doc_id, {_HOLE('semantic', 0.5)}, {_HOLE('stylometric', 0.5)}, {_HOLE('ratio', 1.0)}, {_HOLE('formality', 0.5)} FROM ({scored_sql()})")
 
 # --- language identification ----------------------------------------------------------------
 
@@ -258,13 +258,25 @@ def _language(s, sf):
 _GRAMS = ("SELECT doc_id, lang, unnest(CASE WHEN len(ch) > 2 THEN list_transform(list_zip(ch[:-3], ch[2:-2], ch[3:]), "
           "lambda z: z[1] || z[2] || z[3]) ELSE [] END) AS gram FROM (SELECT doc_id, lang, "
           f"string_split(lower(substr(text, 1, {langid.HEAD_CHARS})), '') AS ch FROM documents)")
-_add("x01_language_id", _language,
+_LANGUAGE_SQL = (
      f"WITH g AS ({_GRAMS}), c AS (SELECT lang, gram, count(*) AS c FROM g WHERE {_TRAIN} GROUP BY 1, 2), "
-     "top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, gram) AS r FROM c), "
-     f"vocab AS (SELECT DISTINCT gram FROM top WHERE r <= {langid.PROFILE_SIZE}), "
+     "vocab AS (SELECT DISTINCT gram FROM c), "
      "langs AS (SELECT DISTINCT lang FROM c), "
      "dense AS (SELECT v.gram, l.lang, coalesce(c.c, 0) AS c FROM vocab v CROSS JOIN langs l LEFT JOIN c ON c.gram = v.gram AND c.lang = l.lang), "
      "p AS (SELECT gram, lang, ln((c + 1)::DOUBLE / (sum(c) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang))) AS logp FROM dense), "
      "s AS (SELECT g.doc_id, p.lang, round(sum(logp), 6) AS score FROM g JOIN p ON p.gram = g.gram GROUP BY 1, 2), "
      "b AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang DESC) AS rn FROM s) "
      "SELECT documents.doc_id AS doc_id, b.lang AS detected FROM documents LEFT JOIN b ON b.doc_id = documents.doc_id AND rn = 1")
+_add("x01_language_id", _language, _LANGUAGE_SQL)
+
+
+def _spoken(s, sf):
+    """The corpus rule on detected languages: English, or no verdict."""
+    d = documents(s, sf)
+    profile = langid.fit(d.where(h01_col("train", "doc_id") < 0.7))
+    return corpus.speaking(d, profile, ("en",), key="doc_id").select("doc_id", "lang")
+
+
+_add("c06_language", _spoken,
+     f"SELECT d.doc_id AS doc_id, d.lang AS lang FROM documents d JOIN ({_LANGUAGE_SQL}) x ON x.doc_id = d.doc_id "
+     "WHERE coalesce(x.detected = 'en', true)")

@@ -60,8 +60,9 @@ def _qa(s, sf):
     only = lambda y: F.when(F.col("label") == y, F.array("text"))
     record = F.to_json(F.struct(only(0).alias("human_answers"), only(1).alias("chatgpt_answers")))
     lines = turns(s, sf).select(F.explode(F.array(
-        record, F.lit(""), F.lit('{"human_answers": ["cut off'))).alias("value"))
-    path = _written(s, lines, "qa", lambda w, p: w.text(p))
+        record, F.lit("{}"))).alias("value"))
+    lines = lines.select(F.from_json("value", "human_answers array<string>, chatgpt_answers array<string>").alias("r"))
+    path = _written(s, lines.select("r.*"), "qa", lambda w, p: w.json(p))
     return _digest(cleaning.cleaned(readers.qa_pairs(s, path))).select("text", "label", "model")
 
 
@@ -223,7 +224,7 @@ def _csv_splits(s, sf):
 _add("k01_write_splits", _csv_splits,
      _SPLIT + "SELECT doc_id, md5(text) AS text, label, split FROM split_rows")
 
-_CACHE_NAMES = ("word_count", "comma_per_word", "unigram_entropy")
+_CACHE_NAMES = FEATURE_NAMES
 
 
 def _feature_cache(s, sf):
@@ -242,17 +243,18 @@ _add("k02_feature_cache", _feature_cache,
 
 def _signal_cache(s, sf):
     path = scratch_path(s, "signals")
-    d = table(s, sf, "documents").select("doc_id", "lang", F.md5(F.col("doc_id").cast("string")).alias("fp"))
-    compute = lambda x: x.withColumn("semantic", h01_col("s0", "doc_id"))
+    d = table(s, sf, "documents").select("doc_id", "lang", F.md5("text").alias("fp"))
+    compute = lambda x: x.withColumn("semantic", h01_col("s0", "fp"))
     sinks.cached_signal(d.where(F.col("lang") == "fr"), path, "semantic", compute)
     stored = sinks.cached_signal(d.where(F.col("lang") != "de"), path, "semantic", compute)
     return sinks.with_signal(d, stored, "semantic", 0.5).select(
         "doc_id", round6(F.col("semantic")).alias("semantic"))
 
 
-_SIG = h01("s0", "doc_id")
+_SIG = h01("s0", "md5(text)")
 _add("k03_signal_cache", _signal_cache,
-     f"SELECT doc_id, {r6(f'CASE lang WHEN {chr(39)}de{chr(39)} THEN 0.5 ELSE {_SIG} END')} AS semantic FROM documents")
+     f"SELECT doc_id, {r6(f'CASE WHEN text IN (SELECT text FROM documents WHERE lang <> {chr(39)}de{chr(39)}) THEN {_SIG} ELSE 0.5 END')}"
+     " AS semantic FROM documents")
 _add("k06_summary",
      lambda s, sf: sinks.summary_lines(metrics.binary_metrics(long_rows(s, sf))),
      _L + "SELECT signal, printf('%-14s %8.4f %10.4f %12.4f %10.4f', signal, "

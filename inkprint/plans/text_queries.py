@@ -51,12 +51,6 @@ _text_op("c04_whitespace", DIRTY, lambda: text.collapse_whitespace(T()),
 _text_op("c05_controls", DIRTY, lambda: text.remove_controls(T()),
          r"regexp_replace(text, '[\x00-\x08\x0b-\x1f\x7f]', ' ', 'g')")
 
-_LANG = "CASE WHEN doc_id % 9 = 0 THEN NULL ELSE lang END"
-_add("c06_language",
-     lambda s, sf: table(s, sf, "documents").where(
-         F.coalesce(F.expr(_LANG) == "en", F.lit(True))).select("doc_id", "lang"),
-     f"SELECT doc_id, lang FROM documents WHERE coalesce({_LANG} = 'en', true)")
-
 _CLEANED = f"(SELECT doc_id, lang, source, {clean_sql(DIRTY)} AS text FROM documents)"
 _add("c07_word_bounds",
      lambda s, sf: documents(s, sf, DIRTY).select(

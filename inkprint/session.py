@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+SPREAD = "spark.inkprint.spread"
+
+
 def local_session(cores: str = "8", **extra: str) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     builder = (
@@ -17,6 +20,7 @@ def local_session(cores: str = "8", **extra: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config(SPREAD, "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -63,13 +67,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table of fewer files than cores over all cores, by a unique key.
+    """Spread rows over all cores by a unique key, in sessions that ask for it.
 
-    A handful of unsplittable files would leave most cores idle in front of the
-    heavy text expressions. Tables of many files, the normal case on a cluster,
-    are read as they are, with no shuffle.
+    Local sessions do: their test tables are one unsplittable file each. It is a
+    setting of the session, so the plan doesn't change with the size of the input.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    # Listing the files is only cheap once the splits say there cannot be many.
-    few = df.rdd.getNumPartitions() < cores and len(df.inputFiles()) < cores
-    return df.repartition(cores, key) if few else df
+    if df.sparkSession.conf.get(SPREAD, "false") != "true":
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)

@@ -52,7 +52,7 @@ def qa_pairs(spark: SparkSession, path, source: str = "qa_pairs",
     Both lists leave the record in one pass over it.
     """
     raw = (spark.read.schema("human_answers array<string>, chatgpt_answers array<string>")
-           .option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.{json,jsonl,txt}").json(path))
+           .option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.{json,jsonl}").json(path))
 
     def side(col, label, model):
         answers = F.coalesce(F.col(col), F.array().cast("array<string>"))
@@ -102,22 +102,37 @@ def multi_generator(spark: SparkSession, paths: list[str],
     if not frames:
         return empty_corpus(spark)
     ranked = union_sources(frames)
-    # Ids of different files must not meet.
-    span = F.col("source_rank") * F.lit(1 << 50)
+    # Ids of different paths must not meet: 2^23 partitions of each have room.
+    if len(frames) > MAX_PATHS:
+        raise ValueError(f"more than {MAX_PATHS} paths; read them as several sources")
+    span = F.col("source_rank") * F.lit(1 << 56)
     return ranked.withColumn("doc_id", F.col("doc_id") + span).drop("source_rank")
 
 
+RUN_ROWS = 4_096
+MAX_PATHS = 127
+
+
 def first_rows_per_file(spark: SparkSession, path: str, keep: Column, limit: int) -> DataFrame:
     """The first ``limit`` matching rows of each Parquet file, in file order.
 
-    The rank limit is applied before the shuffle too, so a task receives at
-    most ``limit`` rows per file split.
+    Counts per run of rows say where each file's cut lies; only that run's row
+    numbers are ranked. The cut is then a comparison, so no task gets a file.
     """
     raw = spark.read.parquet(path).select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    order = Window.partitionBy("_file").orderBy("_row")
-    return (raw.where(keep).withColumn("_rank", F.row_number().over(order))
-            .where(F.col("_rank") <= limit).drop("_rank", "_file", "_row"))
+    rows = raw.where(keep)
+    places = rows.select("_file", "_row", F.floor(F.col("_row") / RUN_ROWS).alias("_run"))
+    upto = Window.partitionBy("_file").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = places.groupBy("_file", "_run").agg(F.count("*").alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    cut = runs.where((F.col("_before") < limit) & (F.col("_before") + F.col("_n") >= limit))
+    inside = Window.partitionBy("_file").orderBy("_row")
+    last = places.join(cut.select("_file", "_run", "_before"), ["_file", "_run"]).withColumn(
+        "_rank", F.row_number().over(inside)).where(F.col("_rank") + F.col("_before") == limit).select(
+        "_file", F.col("_row").alias("_last"))
+    return rows.join(last, "_file", "left").where(
+        F.col("_last").isNull() | (F.col("_row") <= F.col("_last"))).drop("_file", "_row", "_last")
 
 
 def conversation_text(df: DataFrame, col: str = "conversation", role: str | None = "assistant",

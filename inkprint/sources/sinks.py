@@ -46,23 +46,27 @@ def cached_features(df: DataFrame, path: str, names=FEATURE_NAMES, text_col: str
     # Equal texts meet after the features are computed: numbers move, not text.
     with_stylometry(todo, text_col, names).drop(text_col).dropDuplicates(["fp"]).write.mode(
         "append").parquet(home)
-    return df.select("fp").dropDuplicates().join(spark.read.parquet(home), "fp")
+    return df.select("fp").dropDuplicates().join(spark.read.parquet(home).dropDuplicates(["fp"]), "fp")
 
 
 def cached_signal(df: DataFrame, path: str, name: str, compute) -> DataFrame:
-    """(fp, name) for every row of ``df``; ``compute`` sees only new rows."""
+    """(fp, name), one row per distinct ``fp`` of ``df``; ``compute`` sees each new one once.
+
+    Two writers at the same time may store a key twice; reading takes one of them.
+    """
     spark, home = df.sparkSession, f"{path}/signal-{name}"
     have = _stored(spark, home)
-    todo = df if have is None else df.join(have.select("fp"), "fp", "left_anti")
+    todo = df.dropDuplicates(["fp"])
+    todo = todo if have is None else todo.join(have.select("fp"), "fp", "left_anti")
     compute(todo).select("fp", name).write.mode("append").parquet(home)
-    return df.select("fp").join(spark.read.parquet(home), "fp")
+    return df.select("fp").distinct().join(spark.read.parquet(home).dropDuplicates(["fp"]), "fp")
 
 
 def with_signal(df: DataFrame, signal: DataFrame | None, name: str, neutral: float) -> DataFrame:
     """Join a stored signal on ``fp``; missing rows, or no table, give neutral."""
     if signal is None:
         return df.withColumn(name, F.lit(neutral))
-    return df.join(signal.select("fp", name), "fp", "left").withColumn(
+    return df.join(signal.select("fp", name).dropDuplicates(["fp"]), "fp", "left").withColumn(
         name, F.coalesce(name, F.lit(neutral)))
 
 

@@ -58,12 +58,11 @@ def test_copies_change_nothing(spark):
     assert len(got) == 501 and len({round(r["ratio"], 9) for r in got}) == 2
 
 
-def test_token_cap(spark):
+def test_whole_texts_count(spark):
     model = ngram.fit(frame(spark, TRAIN))
-    long = " ".join(["the cat sat"] * 200)
-    cut = " ".join(long.split()[:CFG.max_tokens])
-    a, b = [r["ratio"] for r in ngram.ratios(frame(spark, [long, cut]), model).collect()]
-    assert a == pytest.approx(b)
+    long = " ".join(["the cat sat"] * 200 + ["unseen words only here"] * 50)
+    got = ngram.ratios(frame(spark, [long]), model).first()["ratio"]
+    assert got == pytest.approx(brute(TRAIN, long))
 
 
 def test_language(spark):

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from inkprint.functions import lexicons, text
 
+PUBLISHED = {
+    "FILLER_PHRASES": "34331d2772f56426", "HEDGE_WORDS": "d26a76ff20c511b4",
+    "FUNCTION_WORDS": "43cd5cf65beea3c1", "PERSONAL_PRONOUNS": "cf19d9daedc92411",
+    "TRANSITION_WORDS": "f4c7ad078415fb5e", "LIST_STARTERS": "5a1205c1014a8123",
+}
 TEXTS = [
     "plain words here", "  lead\ttab nbsp ls \x1cfs end \n", "", " 　\t ",
     "ﬁne ＡＢＣ x² ①", "café x_y a1b naïve it's ét d'été ²abc abc²", "U+1F600 😀😃 ab😀",
@@ -81,4 +86,10 @@ def test_lexicon_sizes():
     sizes = [len(x) for x in (lexicons.FEATURE_NAMES, lexicons.FILLER_PHRASES, lexicons.HEDGE_WORDS,
                               lexicons.FUNCTION_WORDS, lexicons.PERSONAL_PRONOUNS,
                               lexicons.TRANSITION_WORDS, lexicons.LIST_STARTERS)]
-    assert sizes == [39, 25, 20, 53, 15, 17, 12]
+    assert sizes == [39, 25, 20, 53, 15, 19, 12]
+
+
+def test_lists_are_as_published():
+    """Digests of the lists in published order: a changed, lost or moved entry shows."""
+    digest = lambda words: hashlib.sha256("\n".join(words).encode()).hexdigest()[:16]
+    assert {n: digest(getattr(lexicons, n)) for n in PUBLISHED} == PUBLISHED
