@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkprint.config import CorpusConfig
+from inkprint.config import CorpusConfig, GenreConfig
 from inkprint.functions import text
 from inkprint.operators import langid
 from inkprint.operators.ranking import cut_keys, keep_lowest, sample_key
@@ -162,6 +162,18 @@ def stratified_split(df: DataFrame, val_ratio: float, test_ratio: float,
     )
 
 
+def genre_corpus(classes: list[list[DataFrame]], cfg: GenreConfig = GenreConfig()) -> DataFrame:
+    """Labelled genre rows with their split; ``classes`` holds each label's sources in order.
+
+    A class takes its quota from its first source as far as that goes, then from
+    the next. Ids must be unique over all frames.
+    """
+    rows = [union_sources(frames).withColumn("label", F.lit(i)) for i, frames in enumerate(classes)]
+    picked = fill_quota(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows),
+                        cfg.samples_per_class, seed=cfg.seed, groups=list(range(len(classes))))
+    return stratified_split(picked, cfg.val_ratio, cfg.test_ratio, cfg.seed)
+
+
 def speaking(staged: DataFrame, profile: langid.Profile, wanted: tuple[str, ...],
              key: str = "load_order") -> DataFrame:
     """Rows in a wanted language; text without a known trigram passes, as where a detector gives up."""

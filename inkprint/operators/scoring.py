@@ -16,7 +16,7 @@ from inkprint.config import (
 from inkprint.functions import text
 from inkprint.functions.lexicons import EXPLAINED_FEATURES, FEATURE_NAMES
 from inkprint.functions.stylometry import with_stylometry
-from inkprint.operators import fusion, models, ngram
+from inkprint.operators import fusion, metrics, models, ngram
 from inkprint.operators.cleaning import scorable_text
 from inkprint.session import materialise, scratch_path
 
@@ -84,6 +84,9 @@ def explain_features(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.unpivot([key], list(EXPLAINED_FEATURES), "feature", "value")
 
 
+# What an explanation shows, in order.
+EXPLAINED_SIGNALS = ("semantic", "stylometric", "ratio_signal", "formality", "final_prob")
+
 # --- the detector -----------------------------------------------------------------
 
 
@@ -101,11 +104,14 @@ class Detector:
     meta: fusion.FusionMeta
 
     def raw_signals(self, df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Features and raw signals. Three signals are row-local; the ratio joins in."""
+        """Features and raw signals. Three signals are row-local; the ratio joins in.
+
+        The text stays behind: only numbers go through the join.
+        """
         d = with_stylometry(df, text_col, FEATURE_NAMES)
         d = self.stylo.probability(d)
         d = models.semantic_probability(d, self.semantic, "semantic", text_col)
-        d = models.genre_signals(d, self.genre, text_col)
+        d = models.genre_signals(d, self.genre, text_col).drop(text_col)
         return d.join(ngram.ratios(df, self.ngrams, text_col, key), key)
 
     def matrix(self, raw: DataFrame) -> DataFrame:
@@ -132,7 +138,19 @@ class Detector:
         return ready.select(
             key, status.alias("status"),
             text.preview(F.col("shown_text"), cfg.preview_chars).alias("preview"),
-        ).join(scored.drop("prose"), key, "left")
+        ).join(scored, key, "left")
+
+    def explain(self, df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Five rows a document: two raw signals, normalised ratio, formality, fused score."""
+        return explain_signals(self.score(df, key, text_col), list(EXPLAINED_SIGNALS), key)
+
+    def evaluate(self, rows: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The comparison table of labelled rows: the fused score, then its signals."""
+        scored = self.fuse(self.raw_signals(rows.select(key, text_col), key, text_col)).drop("label")
+        order = ["final_prob", *EXPLAINED_SIGNALS[:-1]]
+        signals = rows.select(key, F.col("label")).join(scored, key).unpivot(
+            [key, "label"], order, "signal", "score")
+        return metrics.comparison_table(signals, order)
 
     def score_sentences(self, df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Semantic score of each sentence, uncalibrated, structure kept."""
@@ -185,9 +203,13 @@ class Detector:
 def train_detector(corpus: DataFrame, genres: DataFrame, key: str = "doc_id",
                    stylo: StyloConfig = StyloConfig(), semantic: SemanticConfig = SemanticConfig(),
                    genre: GenreConfig = GenreConfig(), ratio: RatioConfig = RatioConfig(),
-                   fuse: FusionConfig = FusionConfig()) -> tuple[Detector, DataFrame]:
+                   fuse: FusionConfig = FusionConfig(),
+                   names: tuple[str, ...] = fusion.MATRIX) -> tuple[Detector, DataFrame]:
     """Fit everything from split, labelled text; returns the detector and its signals.
 
+    ``names`` picks the columns that are fused: the first two or three make the
+    smaller detectors.
+
     ``corpus`` holds (key, text, label, split), ``genres`` (text, label, split).
     Base models, counts and percentiles see train rows only; calibration sees
     val rows. The raw signals are written once, keyed, and all later steps read
@@ -214,7 +236,7 @@ def train_detector(corpus: DataFrame, genres: DataFrame, key: str = "doc_id",
     low, high = fusion.exact_percentiles(
         raw.where(F.col("split") == "train"), "ratio", [fuse.low_percentile, fuse.high_percentile])
     detector = Detector(semantic_model, stylo_model, counts, genre_model, sem_cal, sty_cal,
-                        None, fusion.FusionMeta(low, high))
+                        None, fusion.FusionMeta(low, high, names))
     fit_rows = detector.matrix(raw).where(F.col("split") == "train")
-    detector.head = fusion.fit_fusion(fit_rows, cfg=fuse)
+    detector.head = fusion.fit_fusion(fit_rows, names, fuse)
     return detector, raw

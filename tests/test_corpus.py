@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from inkprint.config import CorpusConfig
+from inkprint.config import CorpusConfig, GenreConfig
 from inkprint.operators import corpus
 
 
@@ -85,3 +85,34 @@ def test_split_moves_no_text(spark):
     for line in plan.split("\n"):
         if "Exchange" in line:
             assert "text" not in line
+
+
+def test_genre_corpus(spark):
+    """Quota from the first source first, then the next; exact stratified splits."""
+    frame = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    rows = corpus.genre_corpus([[frame(0, 30), frame(100, 200)], [frame(300, 400)], [frame(500, 520)]],
+                               GenreConfig(samples_per_class=50)).collect()
+    by = {y: [r for r in rows if r["label"] == y] for y in range(3)}
+    assert {y: len(r) for y, r in by.items()} == {0: 50, 1: 50, 2: 20}
+    assert sum(r["doc_id"] < 30 for r in by[0]) == 30
+    assert {s: sum(r["split"] == s for r in rows) for s in ("train", "val", "test")} == {"train": 96, "val": 12, "test": 12}
+
+
+def test_source_rank_of_five_digits(spark):
+    d = spark.createDataFrame([(i, 0, r) for i, r in enumerate([10_000, 9_999, 1_000, 10_001])], "doc_id long, label int, source_rank long")
+    assert sorted(r["source_rank"] for r in corpus.fill_quota(d, 2, groups=[0]).collect()) == [1_000, 9_999]
+
+
+def test_load_order_is_wide(spark):
+    big = (1 << 62) + 5
+    d = spark.createDataFrame([(0, big), (1, 0), (1_000_000, big), (0, 1)], "source_rank long, doc_id long")
+    got = d.select("source_rank", "doc_id", corpus.load_order().alias("o")).orderBy("o").collect()
+    assert [(r[0], r[1]) for r in got] == sorted((r[0], r[1]) for r in got) and len({r["o"] for r in got}) == 4
+
+
+def test_other_languages_go(spark):
+    from inkprint.operators import langid
+    train = spark.createDataFrame([("the quick brown fox and the other thing", "en"), ("der schnelle braune fuchs und das ding", "de")] * 5,
+                                  "text string, lang string")
+    rows = spark.createDataFrame([(0, "another thing and the fox"), (1, "das braune ding und der"), (2, "日本語日本語")], "load_order long, text string")
+    assert sorted(r["load_order"] for r in corpus.speaking(rows, langid.fit(train), ("en",)).collect()) == [0, 2]

@@ -118,3 +118,27 @@ def test_read_split_prunes_partitions(spark, tmp_path):
     val = readers.read_split(spark, str(tmp_path / "p"), "val")
     assert [r["doc_id"] for r in val.collect()] == [2]
     assert "PartitionFilters: [isnotnull(split" in val._jdf.queryExecution().executedPlan().toString()
+
+
+def test_signal_cache_has_a_row_per_text(spark, tmp_path):
+    """Repeated texts are computed once and never multiply rows."""
+    d = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0)], "fp string, v double")
+    compute = lambda x: x.withColumn("semantic", F.col("v") / 4)
+    stored = sinks.cached_signal(d.where("fp = 'a'"), str(tmp_path), "semantic", compute)
+    assert [tuple(r) for r in stored.collect()] == [("a", 0.25)]
+    stored = sinks.cached_signal(d, str(tmp_path), "semantic", compute)
+    assert sorted(tuple(r) for r in stored.collect()) == [("a", 0.25), ("b", 0.5)]
+    assert sorted(r["semantic"] for r in sinks.with_signal(d, stored, "semantic", 0.5).collect()) == [0.25, 0.25, 0.5]
+
+
+def test_first_rows_of_each_file(spark, tmp_path, monkeypatch):
+    """The cut falls inside a run, at its end, and past the file's end."""
+    monkeypatch.setattr(readers, "RUN_ROWS", 8)
+    for n, size in enumerate((100, 20, 5)):
+        spark.range(size).select("id", F.lit(n).alias("file")).coalesce(1).write.parquet(str(tmp_path / f"f{n}"))
+    for limit in (1, 10, 16):
+        rows = readers.first_rows_per_file(spark, str(tmp_path / "*"), F.col("id") % 2 == 0, limit)
+        got = {f: sorted(r["id"] for r in rows.where(F.col("file") == f).collect()) for f in range(3)}
+        assert got == {f: list(range(0, size, 2))[:limit] for f, size in enumerate((100, 20, 5))}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" not in plan
