@@ -18,7 +18,7 @@ Candidates. Large groups of near copies share their signatures, so pairs inside
 bucket are not spelt out. First every member meets the bucket's most central member
 (fewest rare tokens). Verified links are joined to components. Then only members
 outside of the central member's component meet the rest of the bucket, in blocks of
-bounded size, and only members of other components; sizes and counts of tokens in 128
+bounded size, and only members of other components; sizes and counts of tokens in 512
 hash ranges, an exact bound of the overlap, drop most pairs before any set is read.
 A pair that is never compared lies in one component already.
 
@@ -49,7 +49,7 @@ FREQUENT = 50
 LOCAL = 3
 COUNTED_TOKENS = 4_000_000
 MAX_FREQUENT = 1_000_000
-RANGES = 128
+RANGES = 512
 BLOCK = 2_000
 
 
@@ -66,14 +66,21 @@ def node_of(tokens: np.ndarray, seed: int) -> int:
 
 
 def ranges(tokens: np.ndarray) -> bytes:
-    counts = np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=RANGES)
+    counts = np.bincount((tokens >> np.uint64(55)).astype(np.int64), minlength=RANGES)
     most = counts.max(initial=0)
     return counts.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
 
 
 def _unranged(column: pa.Array) -> np.ndarray:
-    return np.array([np.frombuffer(x, f"<u{len(x) // RANGES}") for x in column.to_pylist()],
-                    np.int32).reshape(-1, RANGES)
+    rows = column.to_pylist()
+    if all(len(x) == RANGES for x in rows):
+        return np.frombuffer(b"".join(rows), "u1").reshape(-1, RANGES)
+    return np.array([np.frombuffer(x, f"<u{len(x) // RANGES}") for x in rows], np.uint32).reshape(-1, RANGES)
+
+
+def _room(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The overlap that counts by hash range leave possible."""
+    return np.minimum(left, right).sum(1, dtype=np.int64)
 
 
 def overlap_needed(total: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -212,7 +219,8 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = _unranged(batch.column("a_ranges")), _unranged(batch.column("b_ranges"))
-            room = np.minimum(left, right).sum(1) >= overlap_needed(left.sum(1) + right.sum(1), num, den)
+            total = left.sum(1, dtype=np.int64) + right.sum(1, dtype=np.int64)
+            room = _room(left, right) >= overlap_needed(total, num, den)
             yield batch.select(["a", "b"]).filter(pa.array(room))
 
     return rows_by_python(pairs.join(side("a"), "a").join(side("b"), "b").select(
@@ -295,7 +303,7 @@ def _across(block: list, part: list, num: int, den: int) -> list:
         fits &= np.where(n < size, indexed, np.where(n > size, index, indexed | index))
         at = np.flatnonzero(fits)
         if len(at):
-            room = np.minimum(counts[at], own).sum(1) >= overlap_needed(n[at].astype(np.int64) + size, num, den)
+            room = _room(counts[at], own) >= overlap_needed(n[at].astype(np.int64) + size, num, den)
             at = at[room]
             if len(at):
                 low, high = np.minimum(node[at], other), np.maximum(node[at], other)
