@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkprint.llm import op3_repair, op4_mixing, op5_line_frequency, op6_ngram_join, op7_tiling
-from inkprint.llm.common import folder, table
+from inkprint.llm.common import folder, release, table, written
+
+_left: list[str] = []
+
+
+def owned(work):
+    """A stage that first deletes the tables of the stage before, unless its input still reads them."""
+    @wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        reads = docs.inputFiles()
+        gone = [p for p in _left if not any(p.rpartition("/")[2] in f for f in reads)]
+        release(spark, gone)
+        begun = len(written)
+        out = work(spark, docs, sf_dir)
+        _left[:] = [p for p in _left if p not in gone] + written[begun:]
+        return out
+
+    return stage
+
 
 # The mix trims what is over-represented and keeps most of the rest.
 MIX_BUDGET = 0.9
@@ -18,26 +38,31 @@ MIX = {
 }
 
 
+@owned
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Frequent lines go, and documents that fail the rules or have too little left."""
     return op5_line_frequency.cleaned(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@owned
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: five-word shingles, similarity 0.8."""
     return op6_ngram_join.representatives(docs, k=5, num=80, den=100)
 
 
+@owned
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items go."""
     return op7_tiling.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@owned
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens follow the targets by source, language and topic."""
     return op4_mixing.sampled(docs, MIX, MIX_BUDGET)
 
 
+@owned
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents in grammar shards, and where each document's lie."""
     home = folder(spark, "pipeline-shards")

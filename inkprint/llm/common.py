@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkprint.session import materialise, scratch_path
+from inkprint.session import scratch_path
 
 BATCH_ROWS = 512
 BROADCAST_ROWS = 1_000_000
@@ -26,7 +26,20 @@ def batched(spark: SparkSession) -> None:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """A written table in the shared folder: short lineage, survives lost executors."""
-    return materialise(df, f"llm-{name}")
+    path = folder(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    written.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+written: list[str] = []  # the tables of this driver, in the order of their making
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def folder(spark: SparkSession, name: str) -> str:
