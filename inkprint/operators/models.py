@@ -169,13 +169,26 @@ def patience_stop(losses: list[float], patience: int) -> tuple[int, bool]:
     return best + 1, False
 
 
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model of the first ``n`` rounds alone, parameters as they were."""
+    java, sc = model._java_obj, SparkSession.active().sparkContext
+    old, weights = java.trees(), java.treeWeights()
+    trees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    steps = sc._gateway.new_array(sc._jvm.double, n)
+    for i in range(n):
+        trees[i], steps[i] = old[i], weights[i]
+    cut = GBTClassificationModel(sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        java.uid(), trees, steps, java.numFeatures()))
+    return model._copyValues(cut)
+
+
 def fit_stylometric(features: DataFrame, names=FEATURE_NAMES, cfg: StyloConfig = StyloConfig(),
                     label: str = "label") -> StyloModel:
     """Boosted trees on train rows, stopped by the loss on val rows (``split``).
 
     Boosting runs a first stretch of rounds and doubles it until the val loss has
-    not improved for ``patience`` rounds; the best prefix is then kept. Rounds
-    are seeded one by one, so fitting fewer of them gives exactly that prefix.
+    not improved for ``patience`` rounds; the tree list is then cut to the best
+    prefix. Rounds are seeded one by one, so that is what fewer rounds would fit.
     """
     names = list(names)
     stats = fit_scaler(features.where(F.col("split") == "train"), names)
@@ -201,7 +214,7 @@ def fit_stylometric(features: DataFrame, names=FEATURE_NAMES, cfg: StyloConfig =
         if stopped or rounds == cfg.trees:
             break
         rounds = min(cfg.trees, rounds * 2)
-    return StyloModel(boosted(best) if best < rounds else trees, stats, names)
+    return StyloModel(first_trees(trees, best) if best < rounds else trees, stats, names)
 
 
 def pruned_names(model: StyloModel, threshold: float) -> list[str]:

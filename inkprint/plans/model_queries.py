@@ -30,8 +30,7 @@ def _add(name, build, sql=None):
 
 _FITTED: dict = {}
 
-# The tables hold a few hundred labelled rows: short boosting, coarse bins.
-SHORT = StyloConfig(trees=20, first_rounds=10, patience=5, max_bins=32)
+STYLO = StyloConfig()  # the published boosting, whatever the size of the tables
 
 
 def fitted(s, sf):
@@ -45,7 +44,7 @@ def fitted(s, sf):
         rows = materialise(corpus.stratified_split(turns(s, sf), 0.15, 0.15), "rows")
         genres = materialise(corpus.stratified_split(genre_rows(s, sf).select(
             "doc_id", F.substring("text", 1, 1500).alias("text"), "label"), 0.1, 0.1), "genres")
-        _FITTED[key] = (*train_detector(rows, genres, stylo=SHORT), rows)
+        _FITTED[key] = (*train_detector(rows, genres, stylo=STYLO), rows)
     return _FITTED[key]
 
 
@@ -66,7 +65,7 @@ def _style_scores(s, sf):
 
 def _split_style(s, sf):
     d = materialise(with_stylometry(fitted(s, sf)[2].select("doc_id", "text", "label", "split")), "style")
-    return models.fit_stylometric(d.drop("text"), FEATURE_NAMES, SHORT).probability(d).select(
+    return models.fit_stylometric(d.drop("text"), FEATURE_NAMES, STYLO).probability(d).select(
         "doc_id", round6(F.col("stylometric")).alias("stylometric"))
 
 

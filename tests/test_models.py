@@ -56,3 +56,28 @@ def test_genre_of_probabilities(spark):
     got = d.select(models.best_genre(F.col("p")).alias("g"), models.formality(F.col("p")).alias("f")).collect()
     assert [r["g"] for r in got] == [GENRES[1], GENRES[3]]
     assert [round(r["f"], 9) for r in got] == [0.5, 0.1]
+
+
+def test_first_trees_are_what_fewer_rounds_fit(spark, tmp_path):
+    d = models.VectorAssembler(inputCols=["strong", "noise"], outputCol="_x").transform(labelled(spark)).cache()
+    learner = models.GBTClassifier(featuresCol="_x", labelCol="label", maxIter=6, maxDepth=3, stepSize=0.03,
+                                   subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=42).setProbabilityCol("_prob")
+    cut, few = models.first_trees(learner.fit(d), 3), learner.setMaxIter(3).fit(d)
+    assert cut.getNumTrees == 3 and cut.treeWeights == few.treeWeights and cut.toDebugString.split("\n")[1:] == few.toDebugString.split("\n")[1:]
+    cut.write().save(str(tmp_path / "cut"))
+    again = models.GBTClassificationModel.load(str(tmp_path / "cut"))
+    assert again.transform(d).select("_prob").collect() == few.transform(d).select("_prob").collect()
+
+
+def test_registered_models_use_the_published_boosting(spark, small, monkeypatch):
+    from inkprint.plans import model_queries
+
+    seen = []
+    monkeypatch.setattr(model_queries, "_FITTED", {})
+    monkeypatch.setattr(model_queries, "train_detector", lambda *a, stylo, **k: seen.append(stylo) or (None, None))
+    monkeypatch.setattr(models, "fit_stylometric", lambda d, names, cfg: seen.append(cfg) or models.StyloModel(None, {}))
+    try:
+        model_queries._split_style(spark, small)
+    except AttributeError:
+        pass  # there is no model to score with
+    assert seen == [StyloConfig(), StyloConfig()]
