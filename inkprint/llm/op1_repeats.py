@@ -3,10 +3,11 @@
 A unit is a sentence: it ends with a line, or with ``.``, ``!`` or ``?`` before space.
 Units are normalised (words in lower case, space left out) and hashed. Digests are
 grouped over the whole corpus; the earliest document, by id, keeps its occurrence. In
-all others, and from the second occurrence in one text on, a unit is a repeat.
-Neighbouring repeats of ``min_words`` words or more in all are cut out. So a common
-sentence stays where it stands alone, while a passage is found wherever it begins,
-also in the middle of a line. Cut spans keep their places in the original text.
+all others, and from the second occurrence in one text on, a unit is a repeat and is
+cut out, however short it is. A repeated line or paragraph goes with all its sentences,
+and a passage is found wherever it begins, also in the middle of a line or around an
+edited sentence, which stays. Neighbouring repeats make one span; ``min_words`` above 1
+keeps spans of fewer words. Cut spans keep their places in the original text.
 
 Every task sends a document's distinct digests only, counts combine before the
 shuffle, and the join on digests can be split where one is hot. Texts move once.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from inkprint.llm.common import rows_by_python, stage, table
 from inkprint.llm.words import bounds, hashes, mix, slices
 
-MIN_WORDS = 25
+MIN_WORDS = 1
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 CLEANED = ("doc_id long, n_units long, n_removed long, removed_chars long, "

@@ -168,6 +168,17 @@ def test_repeats(spark):
     assert sum(map(bool, want.values())) > 8
 
 
+def test_short_repeats_are_cut(spark):
+    """Repeated lines of any length go, and a passage on both sides of an edited sentence."""
+    line = "Licensed to all under the terms of the free licence of 2004"
+    head, tail = "The mill stood by the river.", "Nobody had lived there for years."
+    texts = [f"One is new here\n{line}\n{head} It was old. {tail}", f"Two is new here\n{line}\n{head} It was grey. {tail}",
+             f"{line}\nThree is new here", "Four is new. It was old. And so it ends"]
+    got = {r["doc_id"]: r["text"].split() for r in op1_repeats.without_repeats(frame(spark, texts)).collect()}
+    assert got == {0: texts[0].split(), 1: "Two is new here It was grey.".split(), 2: "Three is new here".split(),
+                   3: "Four is new. And so it ends".split()}
+
+
 # --- archives ---
 
 
