@@ -10,7 +10,9 @@ decoded alone, with the stored expansion lengths telling where an id lies.
 
 Encoding works on pieces. In this vocabulary's pre-tokenisation a single blank
 between two other characters always starts a new word, so a text's ids are those of
-its pieces one after another, and pieces are kept in a bounded cache.
+its pieces one after another, and pieces are kept in a bounded cache. As the library
+does by default, an added token of the vocabulary in a text is that token's one id; a
+text that holds one goes to the library whole.
 
 Defined cases: a null or empty text has the end id only; equal ids keep an order of
 their own by text; a null id sorts first; other columns are ignored; an empty table
@@ -101,11 +103,15 @@ class _Others(dict):
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes, equal to the library's on the text."""
+    """Ids of whole texts as little-endian 32-bit bytes, equal to the library's on the text.
 
-    def __init__(self, path: str):
+    ``spelt`` sets the library's switch that reads the vocabulary's added tokens as plain text.
+    """
+
+    def __init__(self, path: str, spelt: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = spelt
+        self.added = () if spelt else tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.model = self.tokenizer.model
         self.letters = dict(enumerate(_byte_letters()))
         self.first, self.rest, self.other = _Pieces(self, ""), _Pieces(self, " "), _Others(self)
@@ -129,6 +135,8 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(token in text for token in self.added):
+            return self.whole(text)
         pieces = text.split(" ")
         try:
             return self.first[pieces[0]] + b"".join(map(self.rest.__getitem__, pieces[1:]))
@@ -277,7 +285,7 @@ def _writer(home: str, vocabulary: str, shard_tokens: int):
     names = [c.split()[0] for c in MANIFEST.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoders.setdefault(vocabulary, None) or Encoder(vocabulary)
+        encode = _encoders.setdefault(vocabulary, None) or Encoder(vocabulary, spelt=False)
         _encoders[vocabulary] = encode  # kept by the worker for its next tasks
         store, at = place(home)
         part, number, keys, texts, held = TaskContext.get().partitionId(), 0, [], [], 0

@@ -233,6 +233,17 @@ def test_shard_query(spark, small):
     assert [tuple(r) for r in got] == want
 
 
+def test_added_tokens_in_texts(spark, make):
+    """The query's ids are the library's, its switches left as they are."""
+    library = Tokenizer.from_file(VOCABULARY)
+    texts = ["plain words", "<|endoftext|>", "a page <|endoftext|> and the next<|endoftext|>one", "< |endoftext|>", "\x1c <|endoftext|>  x"]
+    got = op3_repair.op3_repair(spark, make([(i, t, "en", "a") for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    want = [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert want[1] == [50256, 0]
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in got] == [(len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for w in want]
+    assert [r["start"] for r in got] == [sum(map(len, want[:i])) for i in range(len(want))]
+
+
 # --- mixing ---
 
 
