@@ -2,9 +2,10 @@
 
 Documents are range-sorted by id. A task encodes its texts, cuts them into shards of
 about ``SHARD_TOKENS`` ids and compresses each by Re-Pair: the frequent neighbouring
-pairs of symbols become new symbols, again and again. A round replaces as many pairs
-at once as cannot overlap (no symbol is the left part of one and the right part of
-another), which keeps each round a few passes over an array. Pairs never reach over
+pairs of symbols become new symbols, again and again until no pair is left ``MIN_COUNT``
+times. A round replaces as many pairs at once as cannot overlap (no symbol is the left
+part of one and the right part of another). Rounds after the first count only where a
+pair can be frequent: at pairs that were, and next to replaced places. Pairs never reach over
 the end of a document, so a document is a slice of the compressed sequence and is
 decoded alone, with the stored expansion lengths telling where an id lies.
 
@@ -40,7 +41,6 @@ from inkprint.llm.files import commit, make_folder, place, spread
 
 SHARD_TOKENS = 2_000_000
 MIN_COUNT = 32
-ROUNDS = 5
 BUCKET_BITS = 18
 CACHED_PIECES = 600_000
 END_ID = 0
@@ -148,30 +148,34 @@ class Encoder:
         return self.other[pieces[0]] + b"".join([self.other[f" {p}"] for p in pieces[1:]])
 
 
-def compress(ids: np.ndarray, last: np.ndarray, min_count: int = MIN_COUNT, rounds: int = ROUNDS):
+def compress(ids: np.ndarray, last: np.ndarray, min_count: int = MIN_COUNT):
     """(terminals, rules, sequence, last): ``last`` marks symbols that end a document."""
     terminals = np.flatnonzero(np.bincount(ids)) if len(ids) else np.zeros(0, np.int64)
     place_of = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
     place_of[terminals] = np.arange(len(terminals))
     seq, rules = place_of[ids], np.zeros((0, 2), np.int64)
-    for _ in range(rounds):
+    inside = np.flatnonzero(~last[:-1])
+    while len(inside):
         total = len(terminals) + len(rules)
         # Pairs meet in hashed buckets; a bucket stands for the pair written to it last,
         # and other pairs in it wait for a later round, where buckets differ.
         kind, spin, shift = ((np.uint32, 2654435769, 32 - BUCKET_BITS) if total <= 1 << 16 else
                              (np.uint64, 0x9E3779B97F4A7C15, 64 - BUCKET_BITS))
-        code = seq[:-1].astype(kind) * kind(total) + seq[1:]
+        code = seq[inside].astype(kind) * kind(total) + seq[inside + 1]
         bucket = ((code * kind(spin)) >> kind(shift)).astype(np.uint32)
-        inside = np.flatnonzero(~last[:-1])
-        code, bucket = code[inside], bucket[inside]
         often = (np.bincount(bucket, minlength=1 << BUCKET_BITS) >= min_count)[bucket]
-        code, bucket, at = code[often], bucket[often], inside[often]
+        code, bucket, inside = code[often], bucket[often], inside[often]
         owner = np.zeros(1 << BUCKET_BITS, kind)
         owner[bucket] = code
         own = owner[bucket] == code
-        code, bucket, at = code[own], bucket[own], at[own]
-        counts = np.bincount(bucket, minlength=1 << BUCKET_BITS)
+        counts = np.bincount(bucket[own], minlength=1 << BUCKET_BITS)
         full = np.flatnonzero(counts >= min_count)
+        if not len(full):
+            # What frequent pairs there are share their buckets with others: count pairs themselves.
+            owner, bucket, counts = np.unique(code, return_inverse=True, return_counts=True)
+            own = np.ones(len(code), bool)
+            full = np.flatnonzero(counts >= min_count)
+        bucket, at = bucket[own], inside[own]
         full = full[np.lexsort((owner[full], -counts[full]))]
         role = [0] * total  # 1 left, 2 right, 3 both parts of its own pair
         chosen, parts = [], []
@@ -187,7 +191,7 @@ def compress(ids: np.ndarray, last: np.ndarray, min_count: int = MIN_COUNT, roun
             parts.append((a, b))
         if not chosen:
             break
-        symbol = np.zeros(1 << BUCKET_BITS, np.uint32)
+        symbol = np.zeros(len(counts), np.uint32)
         symbol[chosen] = total + np.arange(len(chosen))
         new = symbol[bucket]
         at, new = at[new > 0], new[new > 0]
@@ -200,7 +204,10 @@ def compress(ids: np.ndarray, last: np.ndarray, min_count: int = MIN_COUNT, roun
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        near = np.zeros(len(seq), bool)
+        near[inside] = near[at] = near[at[at > 0] - 1] = True
+        seq, last, near = seq[keep], last[keep], near[keep]
+        inside = np.flatnonzero(near & ~last)
         rules = np.concatenate([rules, np.array(parts, np.int64)])
     return terminals, rules, seq, last
 

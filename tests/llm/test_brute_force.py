@@ -220,6 +220,23 @@ def test_shards_round_trip():
         assert shard.token(i, at) == d[at]
 
 
+@pytest.mark.parametrize("bits", [2, 18])
+def test_no_frequent_pair_is_left(monkeypatch, bits):
+    """Also where many pairs share a bucket; a long copy ends up as one symbol a document."""
+    monkeypatch.setattr(op3_repair, "BUCKET_BITS", bits)
+    rng = np.random.default_rng(12)
+    copy = rng.integers(0, 50_000, 600)
+    docs = [copy] * 40 + [rng.zipf(1.4, rng.integers(1, 300)) % 50_000 for _ in range(200)] + [np.full(500, 7)]
+    ids, last = np.concatenate(docs).astype(np.uint32), np.zeros(sum(map(len, docs)), bool)
+    last[np.cumsum([len(d) for d in docs]) - 1] = True
+    _, _, seq, ends = op3_repair.compress(ids, last)
+    pairs = np.stack([seq[:-1], seq[1:]], 1)[~ends[:-1]]
+    assert np.unique(pairs, axis=0, return_counts=True)[1].max() < op3_repair.MIN_COUNT
+    assert np.flatnonzero(ends)[:40].tolist() == list(range(40))
+    shard = op3_repair.Shard(op3_repair.pack(list(range(len(docs))), [d.astype("<u4").tobytes() for d in docs])[0])
+    assert all(back.tolist() == d.tolist() for d, back in zip(docs, shard.documents()))
+
+
 def test_shard_query(spark, small):
     library = Tokenizer.from_file(VOCABULARY)
     library.encode_special_tokens = True
