@@ -369,6 +369,23 @@ def test_tiles_equal_the_textbook():
         assert sum(n for n, *_ in tiles[0]) if tiles else 0 == brute_tiles(item, doc, 3)
 
 
+def test_tiled_words_equal_the_textbook():
+    """Words under tiles are the textbook's count, with and without tiles."""
+    rng, none, some = random.Random(10), 0, 0
+    for _ in range(150):
+        item = [f"v{rng.randrange(6)}" for _ in range(rng.randrange(3, 30))]
+        doc = [f"v{rng.randrange(6)}" for _ in range(rng.randrange(0, 40))]
+        own = [w for w, *_ in op7_tiling.plain_words(pa.array([" ".join(item), " ".join(doc)]))][0]
+        y = own[len(item):]
+        block = op7_tiling.Block([0], [" ".join(item)], 3)
+        there, _ = words.shingle_hashes(y, np.array([0, len(y)]), 3)
+        tiles = [t for _, t in block.pairs(y, there, block.places(there))]
+        want = brute_tiles(item, doc, 3)
+        assert (sum(n for n, *_ in tiles[0]) if tiles else 0) == want
+        none, some = none + (not tiles), some + bool(tiles)
+    assert none > 20 and some > 20
+
+
 # --- language, secrets, quality ---
 
 
