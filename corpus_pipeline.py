@@ -72,7 +72,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("decontamination", decontaminated),
           ("mixing", mixed), ("tokens", tokens)]
 
-# Components, tiling and a tokenizer have no SQL form; tests compare with brute force.
+# Components, tiling and a tokenizer have no SQL form; tests compare these operators and the
+# decontamination stage with brute force, the other stages and run() not yet.
 ORACLE_SQL = None
 
 

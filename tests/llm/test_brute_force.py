@@ -386,6 +386,23 @@ def test_tiled_words_equal_the_textbook():
     assert none > 20 and some > 20
 
 
+def test_decontamination_stage_both_ways(spark, make):
+    """The pipeline's stage removes the documents that brute force finds, and no other."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    items = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (16, 24, 30)]
+    texts = []
+    for _ in range(60):
+        item, at = rng.choice(items), rng.randrange(10)
+        texts.append(prose(rng, rng.randrange(5, 40), 10**6).split() + item[at:at + rng.randrange(0, 24)] + prose(rng, 5, 10**6).split())
+    clean = {i for i, t in enumerate(texts) if all(2 * brute_tiles(it, t, 5) < len(it) for it in items)}
+    home = make([(i, " ".join(t), "en", "a") for i, t in enumerate(texts)],
+                items=[(i, " ".join(it), "b", "w") for i, it in enumerate(items)])
+    out = corpus_pipeline.decontaminated(spark, common.table(spark, home, "documents"), home).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(clean) and 10 < len(clean) < 50
+
+
 # --- language, secrets, quality ---
 
 
