@@ -40,13 +40,18 @@ from tokenizers import Tokenizer
 from inkprint.llm.common import filled, rows_by_python, table
 from inkprint.llm.words import slices
 
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 800_000
+BATCH_BYTES = 1 << 23
+FEW_TREES = 16  # a bucket of fewer trees is merged one by one
 NONE = np.int64(1) << 62
 ENCODED = "doc_id long, ids array<int>"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 _APART = re.compile(r"(?<=\S) (?=\S)")
 _UNSURE = "[\x1c-\x1f]"  # space for one regex library, not for another
+# Every character that \s stands for, spelt out for a library that knows ASCII alone.
+_SPACE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_MARKS = ".,!?;:%$#*&|<>"
 
 
 def byte_letters() -> list[str]:
@@ -79,6 +84,7 @@ class Merges:
         order = np.argsort(code, kind="stable")
         self.code, self.rank = code[order], order.astype(np.int64)
         self.result = np.array(results, np.int64)
+        self.by_pair: dict[int, int] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, NONE where the pair doesn't merge."""
@@ -88,6 +94,48 @@ class Merges:
         at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
         return np.where(self.code[at] == code, self.rank[at], NONE)
 
+    def alone(self, symbols: list[int]) -> np.ndarray:
+        """One piece's symbols after the last merge, -1 where one is gone: one tree, plain numbers."""
+        if not self.by_pair:
+            self.by_pair = dict(zip(self.code.tolist(), self.rank.tolist()))
+        get, result, none = self.by_pair.get, self.result, int(NONE)
+        n = len(symbols)
+        wide = 1 << (n - 1).bit_length() if n > 1 else 1
+        tree = [none] * (2 * wide)
+        for i in range(n - 1):
+            rank = get(symbols[i] << 32 | symbols[i + 1])
+            if rank is not None:
+                tree[wide + i] = rank * wide + i
+        for node in range(wide - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+
+        def put(at: int, key: int) -> None:
+            node = at + wide
+            tree[node] = key
+            while node > 1:
+                other, node = tree[node ^ 1], node >> 1
+                key = key if key < other else other
+                if tree[node] == key:
+                    return
+                tree[node] = key
+
+        def key(at: int) -> int:
+            rank = get(symbols[at] << 32 | symbols[after[at]]) if after[at] >= 0 else None
+            return none if rank is None else rank * wide + at
+
+        while tree[1] < none:
+            rank, at = divmod(tree[1], wide)
+            gone = after[at]
+            symbols[at], symbols[gone], after[at] = int(result[rank]), -1, after[gone]
+            if after[at] >= 0:
+                before[after[at]] = at
+            put(gone, none)
+            put(at, key(at))
+            if before[at] >= 0:
+                put(before[at], key(before[at]))
+        return np.array(symbols, np.int64)
+
 
 class Forest:
     """Segment trees of pieces with the same number of leaves, one merge of each at a time.
@@ -183,14 +231,27 @@ class Bpe:
 
     # --- encoding -----------------------------------------------------------------
 
-    def pieces(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces of bytes (run i is begin[i] to begin[i + 1]) and where each piece's begin."""
+    def pieces(self, data: np.ndarray, begin: np.ndarray, fixed: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of bytes (piece i is begin[i] to begin[i + 1]) and how many each has.
+
+        ``fixed`` names the pieces that are an added token, and its id.
+        """
         sizes = np.diff(begin)
         symbols, counts = self.byte_ids[data], sizes.copy()
-        wide = np.where(sizes > 1, 1 << np.ceil(np.log2(np.maximum(sizes, 2))).astype(np.int64), 1)
         kept = np.ones(len(symbols), bool)
+        for piece, own in fixed.items():
+            kept[begin[piece] + 1:begin[piece + 1]] = False
+            symbols[begin[piece]], counts[piece], sizes[piece] = own, 1, 1
+        wide = np.where(sizes > 1, 1 << np.ceil(np.log2(np.maximum(sizes, 2))).astype(np.int64), 1)
         for leaves in np.unique(wide[wide > 1]).tolist():
             which = np.flatnonzero(wide == leaves)
+            if len(which) < FEW_TREES:
+                for piece in which.tolist():
+                    at = slice(begin[piece], begin[piece + 1])
+                    symbols[at] = done = self.merges.alone(symbols[at].tolist())
+                    kept[at] = done >= 0
+                    counts[piece] = kept[at].sum()
+                continue
             place = np.arange(leaves)
             inside = place < sizes[which, None]
             at = (begin[which, None] + place)[inside]
@@ -200,41 +261,53 @@ class Bpe:
             symbols[at] = done[inside]
             kept[at] = done[inside] >= 0
             counts[which] = (done >= 0).sum(1)
-        return symbols[kept].astype(np.int32), np.concatenate([[0], np.cumsum(counts)])
+        return symbols[kept].astype(np.int32), counts
 
     def learn(self, chunks: list[str]) -> None:
         """Put the ids of new chunks into the cache."""
-        number: dict[str, int] = {}
-        parts, counts = [], []
-        for chunk in chunks:
-            own = self._cut(chunk)
-            counts.append(len(own))
-            parts.extend([number.setdefault(p, len(number)) for p in own])
-        plain = [p for p in number if isinstance(p, str)]
-        data = "".join(plain).translate(self.back).encode("latin-1")
-        begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))])
-        ids, starts = self.pieces(np.frombuffer(data, np.uint8), begin)
-        if len(plain) < len(number):  # added tokens stand between the pieces as their ids
-            fixed = iter(np.split(ids, starts[1:-1]) if plain else [])
-            all_runs = [next(fixed) if isinstance(p, str) else np.array([p[0]], np.int32) for p in number]
-            ids = np.concatenate(all_runs)
-            starts = np.concatenate([[0], np.cumsum([len(r) for r in all_runs])])
-        found, sizes = gathered(ids, starts, np.array(parts, np.int64))
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+        full = pa.array(chunks, pa.large_string())
+        offsets = np.frombuffer(full.buffers()[1], np.int64)[:len(chunks) + 1]
+        data = np.frombuffer(full.buffers()[2] or b"", np.uint8)[:offsets[-1]]
+        # A word, with or without its blank, is one piece, and so are the marks after it.
+        spaced = pc.starts_with(full, " ")
+        stems = pc.utf8_rtrim(full, characters=_MARKS)
+        words = pc.utf8_is_alpha(pc.utf8_slice_codeunits(pc.if_else(spaced, stems, pc.binary_join_element_wise(
+            pa.scalar(" ", pa.large_string()), stems, pa.scalar("", pa.large_string()))), 1))
+        words = words.to_numpy(zero_copy_only=False)
+        ends = offsets[:-1] + pc.binary_length(stems).to_numpy(zero_copy_only=False)
+        cuts, owners, fixed = [offsets[:-1], ends[words]], [np.arange(len(chunks)), np.flatnonzero(words)], {}
+        more, whose, tokens = [], [], {}
+        for i in np.flatnonzero(~words).tolist():
+            at = int(offsets[i])
+            for length, token in self._cut(chunks[i]):
+                if token is not None:
+                    tokens[at] = token
+                more.append(at)
+                whose.append(i)
+                at += length
+        # Every piece but a chunk's first begins inside the chunk.
+        begin = np.concatenate([*cuts, np.array(more, np.int64)])
+        owner = np.concatenate([*owners, np.array(whose, np.int64)])
+        inside = begin < offsets[1:][owner]
+        begin, first = np.unique(begin[inside], return_index=True)
+        owner = owner[inside][first]
+        fixed = dict(zip(np.searchsorted(begin, np.array(list(tokens), np.int64)).tolist(), tokens.values()))
+        ids, counts = self.pieces(data, np.append(begin, offsets[-1]), fixed)
+        sizes = np.bincount(owner, counts, len(chunks)).astype(np.int64)
         self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
-        self.begin = np.concatenate([self.begin, self.begin[-1] + ends])
-        self.ids = np.concatenate([self.ids, found])
-
-    def _cut(self, chunk: str) -> list:
-        """Pieces in byte letters; an added token is its id in a tuple."""
-        if not self.added_at.search(chunk):
-            return [p for p, _ in self.cut(chunk)]
-        out, at = [], 0
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _cut(self, chunk: str) -> Iterator[tuple[int, int | None]]:
+        """Bytes of each piece, and the id of those that are an added token."""
+        at = 0
         for m in self.added_at.finditer(chunk):
-            out += [p for p, _ in self.cut(chunk[at:m.start()])]
-            out.append((self.added[m.group()],))
+            for piece, _ in self.cut(chunk[at:m.start()]):
+                yield len(piece), None
+            yield len(m.group().encode()), self.added[m.group()]
             at = m.end()
-        return out + [p for p, _ in self.cut(chunk[at:])]
+        for piece, _ in self.cut(chunk[at:] if at else chunk):
+            yield len(piece), None
 
     def _slow(self, text: str, whole: bool) -> list[str]:
         if whole or self.added_at.search(text):
@@ -249,30 +322,30 @@ class Bpe:
         offsets = cut.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         encoded = cut.flatten().dictionary_encode()
-        words = encoded.dictionary.to_pylist()
-        code = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        shut_left = np.fromiter((not w or w[0].isspace() for w in words), bool, len(words))[code]
-        shut_right = np.fromiter((not w or w[-1].isspace() for w in words), bool, len(words))[code]
+        words, code = encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False)
+        matches = lambda of, pattern: pc.match_substring_regex(of, pattern).to_numpy(zero_copy_only=False)
         # A blank is a sure cut only between two characters that are no space.
-        unsure = np.zeros(len(code), bool)
-        unsure[1:] = shut_right[:-1] | shut_left[1:]
-        unsure[offsets[:-1]] = False
-        row = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        left, right = matches(words, f"^{_SPACE}|^$"), matches(words, f"{_SPACE}$|^$")
         slow = np.zeros(len(texts), bool)
-        slow[row[unsure]] = True
-        whole = pc.match_substring_regex(texts, _UNSURE).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        if left.any() or right.any():
+            unsure = np.zeros(len(code), bool)
+            unsure[1:] = right[code[:-1]] | left[code[1:]]
+            unsure[offsets[:-1]] = False
+            slow[row[unsure]] = True
+        whole = matches(texts, _UNSURE)
         for token in self.added:
             slow |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         slow |= whole
-        later = np.ones(len(code), np.int64)
-        later[offsets[:-1]] = 0
-        code = 2 * code + later
+        code = 2 * code.astype(np.int64) + 1
+        code[offsets[:-1]] -= 1  # a text's first chunk has no blank before it
         used = np.zeros(2 * len(words), bool)
         used[code[~slow[row]]] = True
         used = np.flatnonzero(used)
         place = np.zeros(2 * len(words), np.int64)
         place[used] = np.arange(len(used))
-        chunks = [f" {words[c >> 1]}" if c & 1 else words[c >> 1] for c in used.tolist()]
+        lead = pa.array(["", " "], pa.large_string()).take(pa.array(used & 1))
+        chunks = pc.binary_join_element_wise(lead, words.take(pa.array(used >> 1)), pa.scalar("", pa.large_string())).to_pylist()
         if not slow.any():
             return chunks, place[code], np.diff(offsets)
         number = {c: i for i, c in enumerate(chunks)}
@@ -322,16 +395,26 @@ def opened(path: str) -> Bpe:
 
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids) of every whole text."""
+    def done(bpe: Bpe, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        keys, texts = (rows.column(c).combine_chunks() for c in ("doc_id", "text"))
+        for row, end, _, _ in slices(texts):
+            ids, counts = bpe.encode(texts.slice(row, end - row))
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [keys.slice(row, end - row), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))],
+                ["doc_id", "ids"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = opened(vocabulary)
+        bpe, held, size = opened(vocabulary), [], 0
         for batch in batches:
-            texts = batch.column("text")
-            for row, end, _, _ in slices(texts):
-                ids, counts = bpe.encode(texts.slice(row, end - row))
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, end - row), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))],
-                    ["doc_id", "ids"])
+            held.append(batch)
+            size += batch.nbytes
+            if size >= BATCH_BYTES:
+                yield from done(bpe, held)
+                held, size = [], 0
+        if held:
+            yield from done(bpe, held)
 
     return rows_by_python(docs.select("doc_id", filled().alias("text")), work, ENCODED)
 
