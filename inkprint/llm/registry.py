@@ -5,7 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ("op1_repeats", "op2_warc", "op3_repair", "op4_mixing", "op5_line_frequency",
-           "op6_ngram_join", "op7_tiling", "op8_language", "op9_secrets", "op10_quality", "op11_bpe")
+           "op6_ngram_join", "op7_tiling", "op8_language", "op9_secrets", "op10_quality", "op11_bpe",
+           "op12_turns")
 
 
 def _merged(attribute: str) -> dict:
