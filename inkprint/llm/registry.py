@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = ("op1_repeats", "op2_warc", "op3_repair", "op4_mixing", "op5_line_frequency",
            "op6_ngram_join", "op7_tiling", "op8_language", "op9_secrets", "op10_quality", "op11_bpe",
-           "op12_turns")
+           "op12_turns", "op13_ranking")
 
 
 def _merged(attribute: str) -> dict:

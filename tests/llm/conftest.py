@@ -25,12 +25,13 @@ def write(spark, rows, schema, path):
     spark.createDataFrame(rows, schema).coalesce(2).write.parquet(str(path))
 
 
-def tables(spark, home, docs, labels=(), pages=(), items=()):
+def tables(spark, home, docs, labels=(), pages=(), items=(), turns=()):
     full = [(i, t, la, s, None if t is None else len(t), *["clash"] * len(CLASHING)) for i, t, la, s in docs]
     write(spark, full, FIELDS, home / "documents.parquet")
     write(spark, list(labels), "doc_id long, quality int, toxic int, x string, score string", home / "labels.parquet")
     write(spark, list(pages), "page_id long, url string, html string, shard string, kind string", home / "pages.parquet")
     write(spark, list(items), "item_id long, text string, block string, words string", home / "benchmark.parquet")
+    write(spark, list(turns), "conv_id long, turn long, role string, text string, pos string, block string", home / "conversations.parquet")
     return str(home)
 
 
@@ -42,7 +43,9 @@ def edge(spark, tmp_path_factory):
     labels = [(1, 1, 0, "c", "c"), (1, 0, 0, "c", "c"), (4, None, 0, "c", "c"), (None, 1, 1, "c", "c"), (14, 0, 0, "c", "c"),
               (15, 0, 1, "c", "c"), (7, 1, 0, "c", "c"), (99, 1, 0, "c", "c")]
     items = [(1, PASSAGE[:90], "b", "w"), (2, None, "b", "w"), (3, "one", "b", "w"), (3, "", "b", "w"), (None, "no id at all but some", "b", "w")]
-    return tables(spark, tmp_path_factory.mktemp("edge"), TEXTS, labels, pages, items)
+    turns = [(1, 0, "user", "a?", "p", "b"), (1, 1, "assistant", "b.", "p", "b"), (1, 1, "assistant", "b.", "p", "b"), (None, None, None, None, "p", "b"),
+             (2, None, "system", "", "p", "b"), (2, 3, "", "x" * 70_000, "p", "b"), (None, 4, "user", "no id.", "p", "b")]
+    return tables(spark, tmp_path_factory.mktemp("edge"), TEXTS, labels, pages, items, turns)
 
 
 @pytest.fixture(scope="session")

@@ -7,7 +7,7 @@ import corpus_pipeline
 from inkprint.llm.common import table
 from inkprint.llm.registry import oracle_sql, queries
 
-PER_DOCUMENT = [q for q in queries() if not q.startswith(("op2_", "op7_"))]
+PER_DOCUMENT = [q for q in queries() if not q.startswith(("op2_", "op7_", "op12_", "op13_"))]
 
 
 @pytest.mark.parametrize("name", list(queries()))
