@@ -393,28 +393,31 @@ def opened(path: str) -> Bpe:
     return _opened[path]
 
 
+def gathered_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches together, about ``BATCH_BYTES`` at a time: more of the chunks are the same."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BATCH_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids) of every whole text."""
-    def done(bpe: Bpe, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        keys, texts = (rows.column(c).combine_chunks() for c in ("doc_id", "text"))
-        for row, end, _, _ in slices(texts):
-            ids, counts = bpe.encode(texts.slice(row, end - row))
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [keys.slice(row, end - row), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))],
-                ["doc_id", "ids"])
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, held, size = opened(vocabulary), [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= BATCH_BYTES:
-                yield from done(bpe, held)
-                held, size = [], 0
-        if held:
-            yield from done(bpe, held)
+        bpe = opened(vocabulary)
+        for rows in gathered_batches(batches):
+            keys, texts = (rows.column(c).combine_chunks() for c in ("doc_id", "text"))
+            for row, end, _, _ in slices(texts):
+                ids, counts = bpe.encode(texts.slice(row, end - row))
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(row, end - row), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))],
+                    ["doc_id", "ids"])
 
     return rows_by_python(docs.select("doc_id", filled().alias("text")), work, ENCODED)
 

@@ -9,11 +9,10 @@ pair can be frequent: at pairs that were, and next to replaced places. Pairs nev
 the end of a document, so a document is a slice of the compressed sequence and is
 decoded alone, with the stored expansion lengths telling where an id lies.
 
-Encoding works on pieces. In this vocabulary's pre-tokenisation a single blank
-between two other characters always starts a new word, so a text's ids are those of
-its pieces one after another, and pieces are kept in a bounded cache. As the library
-does by default, an added token of the vocabulary in a text is that token's one id; a
-text that holds one goes to the library whole.
+Texts are cut into chunks as in ``op11_bpe``; a batch's distinct chunks that the bounded
+cache doesn't know go to the library in one call, and ids are gathered by index. As the
+library does by default, an added token of the vocabulary in a text is that token's one
+id; a text that holds one goes to the library whole.
 
 Defined cases: a null or empty text has the end id only; equal ids keep an order of
 their own by text; a null id sorts first; other columns are ignored; an empty table
@@ -26,8 +25,8 @@ import json
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -38,114 +37,40 @@ from tokenizers import Tokenizer
 
 from inkprint.llm.common import filled, folder, rows_by_python, running_start, table, tag
 from inkprint.llm.files import commit, make_folder, place, spread
+from inkprint.llm.op11_bpe import Bpe, gathered_batches
+from inkprint.llm.words import slices
 
 SHARD_TOKENS = 2_000_000
 MIN_COUNT = 32
 BUCKET_BITS = 18
-CACHED_PIECES = 600_000
 END_ID = 0
 MAGIC = b"RPG1"
 MANIFEST = "part int, number int, temp string, file string, docs long, tokens long, symbols long, rules long, file_bytes long"
 DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
-_APART = re.compile(r"(?<=\S) (?=\S)")
-_UNSURE = re.compile("[\x1c-\x1f]")  # space for one regex library, not for another
-_MARKS = ".,!?;:%$#*&|<>"
 
-
-def _byte_letters() -> str:
-    """The letter that byte-level BPE writes for each byte: printable bytes stay."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = [b for b in range(256) if b not in shown]
-    return "".join(chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256))
-
-
-class _Awkward(Exception):
-    """A piece with space at an edge: the text needs the slower way to cut it."""
-
-
-class _Pieces(dict):
-    """Ids of pieces by what stands after ``lead``; when full, those unused since the last time go."""
-
-    def __init__(self, encoder: Encoder, lead: str):
-        super().__init__()
-        self.encoder, self.lead, self.old = encoder, lead, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.old.get(piece) or self.made(piece)
-        if len(self) >= CACHED_PIECES:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = found
-        return found
-
-    def made(self, piece: str) -> bytes:
-        word = piece.rstrip(_MARKS)
-        if word.isalpha():
-            if len(word) == len(piece):
-                return self.encoder.word(self.lead + word)
-            return self[word] + self.encoder.other[piece[len(word):]]
-        if not piece or piece[0].isspace() or piece[-1].isspace() or _UNSURE.search(piece):
-            raise _Awkward
-        return self.encoder.mixed(piece, self.lead)
-
-
-class _Others(dict):
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED_PIECES // 4:
-            self.clear()
-        found = self[piece] = self.encoder.whole(piece)
-        return found
-
-
-class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes, equal to the library's on the text.
+class Encoder(Bpe):
+    """Ids of whole texts, equal to the library's: chunks cut in Arrow, new chunks encoded by the library, a batch at a time.
 
     ``spelt`` sets the library's switch that reads the vocabulary's added tokens as plain text.
     """
 
     def __init__(self, path: str, spelt: bool = True):
+        super().__init__(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = spelt
-        self.added = () if spelt else tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.model = self.tokenizer.model
-        self.letters = dict(enumerate(_byte_letters()))
-        self.first, self.rest, self.other = _Pieces(self, ""), _Pieces(self, " "), _Others(self)
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def word(self, word: str) -> bytes:
-        """One word, with or without its blank, is one unit for the model."""
-        spelt = word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-
-    def mixed(self, piece: str, lead: str) -> bytes:
-        """A piece of more than a word and marks; single line ends part it further."""
-        parts = piece.split("\n")
-        if len(parts) > 1 and all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
-            head = self.rest[parts[0]] if lead else self.first[parts[0]]
-            return self.other["\n"].join([head, *(self.first[p] for p in parts[1:])])
-        return self.other[lead + piece]
+        if spelt:
+            self.added, self.added_at = {}, re.compile("(?!)")
+
+    def learn(self, chunks: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(token in text for token in self.added):
-            return self.whole(text)
-        pieces = text.split(" ")
-        try:
-            return self.first[pieces[0]] + b"".join(map(self.rest.__getitem__, pieces[1:]))
-        except _Awkward:
-            pass
-        if _UNSURE.search(text):
-            return self.whole(text)
-        pieces = _APART.split(text)
-        return self.other[pieces[0]] + b"".join([self.other[f" {p}"] for p in pieces[1:]])
+        return self.encode(pa.array([text]))[0].astype("<u4").tobytes()
 
 
 def compress(ids: np.ndarray, last: np.ndarray, min_count: int = MIN_COUNT):
@@ -292,12 +217,11 @@ def _writer(home: str, vocabulary: str, shard_tokens: int):
     names = [c.split()[0] for c in MANIFEST.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoders.setdefault(vocabulary, None) or Encoder(vocabulary, spelt=False)
-        _encoders[vocabulary] = encode  # kept by the worker for its next tasks
+        if vocabulary not in _encoders:  # kept by the worker for its next tasks
+            _encoders[vocabulary] = Encoder(vocabulary, spelt=False)
+        encoder = _encoders[vocabulary]
         store, at = place(home)
         part, number, keys, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
-        end = struct.pack("<I", END_ID)
-
         def close() -> pa.RecordBatch:
             data, sizes = pack(keys, texts)
             temp = f"tmp-{tag()}.rpg"
@@ -308,15 +232,19 @@ def _writer(home: str, vocabulary: str, shard_tokens: int):
             kinds = {"temp": pa.string(), "file": pa.string(), "part": pa.int32(), "number": pa.int32()}
             return pa.RecordBatch.from_pylist([row], pa.schema([(n, kinds.get(n, pa.int64())) for n in names]))
 
-        for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text) + end
-                keys.append(key)
-                texts.append(ids)
-                held += len(ids) // 4
-                if held >= shard_tokens:
-                    yield close()
-                    number, keys, texts, held = number + 1, [], [], 0
+        for batch in gathered_batches(batches):
+            texts_, ids_ = batch.column("text").combine_chunks(), batch.column("doc_id").to_pylist()
+            for row, stop, _, _ in slices(texts_):
+                ids, counts = encoder.encode(texts_.slice(row, stop - row))
+                ends = np.cumsum(counts)
+                ids = np.insert(ids, ends, END_ID).astype("<u4")
+                for key, own in zip(ids_[row:stop], np.split(ids, ends[:-1] + np.arange(1, len(ends)))):
+                    keys.append(key)
+                    texts.append(own.tobytes())
+                    held += len(own)
+                    if held >= shard_tokens:
+                        yield close()
+                        number, keys, texts, held = number + 1, [], [], 0
         if keys:
             yield close()
 
