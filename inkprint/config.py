@@ -39,13 +39,17 @@ class StyloConfig:
     depth: int = 8
     step: float = 0.03
     row_fraction: float = 0.9
-    feature_fraction: str = "0.9"
-    min_rows_per_leaf: int = 5
+    feature_fraction: float = 0.9
+    min_child_weight: float = 5.0
+    gamma: float = 0.1
+    l1: float = 0.1
+    l2: float = 1.0
     max_bins: int = 256
-    first_rounds: int = 100
     patience: int = 50
     importance_threshold: float = 0.01
     seed: int = 42
+    rows_in_task: int = 200_000  # nodes of more rows are split by jobs over all tasks
+    rounds_per_job: int = 100  # where one task has all rows
 
 
 @dataclass(frozen=True)
@@ -70,7 +74,14 @@ class RatioConfig:
 @dataclass(frozen=True)
 class FusionConfig:
     hidden: tuple[int, ...] = (32, 16)
-    max_iter: int = 50
+    dropout: tuple[float, ...] = (0.2, 0.1)
+    max_iter: int = 50  # epochs
+    rate: float = 1e-3
+    batch_rows: int = 256  # more where an epoch would have over max_steps steps
+    max_steps: int = 64
+    patience: int = 10
+    folds: int = 3  # base models that score train rows never saw them; 0 or 1: they did
+    rows_in_task: int = 200_000
     saturation: float = 0.990
     low_percentile: float = 0.05
     high_percentile: float = 0.95

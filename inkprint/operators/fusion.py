@@ -6,17 +6,14 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import (
-    LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassificationModel,
-    MultilayerPerceptronClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkprint.config import FusionConfig
+from inkprint.operators import isotonic, perceptron
 
 # The columns of the fusion matrix, in order.
 MATRIX = ("semantic_cal", "stylometric_cal", "ratio_signal", "formality")
@@ -34,19 +31,14 @@ def with_neutral(df: DataFrame, cfg: FusionConfig = FusionConfig(), ratio: float
     return df.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in neutral.items()})
 
 
-def fit_isotonic(val: DataFrame, score: str, label: str = "label") -> IsotonicRegressionModel:
-    """Monotone calibration. Equal scores are merged into one weighted row first."""
-    rows = val.groupBy(F.col(score).alias("_s")).agg(
-        F.avg(F.col(label).cast("double")).alias("_y"), F.count("*").cast("double").alias("_w"))
-    rows = rows.select(array_to_vector(F.array("_s")).alias("_x"), "_y", "_w")
-    return IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w",
-                              predictionCol="_cal").fit(rows)
+def fit_isotonic(val: DataFrame, score: str, label: str = "label") -> isotonic.Isotonic:
+    """Monotone calibration on labelled rows."""
+    return isotonic.fit(val, score, label)
 
 
-def calibrated(df: DataFrame, model: IsotonicRegressionModel, score: str, out: str) -> DataFrame:
+def calibrated(df: DataFrame, model: isotonic.Isotonic, score: str, out: str) -> DataFrame:
     """Apply a calibrator; scores outside its range get its end values."""
-    d = df.withColumn("_x", array_to_vector(F.array(F.col(score).cast("double"))))
-    return model.transform(d).withColumnRenamed("_cal", out).drop("_x")
+    return df.withColumn(out, model.apply(F.col(score)))
 
 
 def exact_percentiles(df: DataFrame, col: str, at: list[float], accuracy: int = 100_000) -> list[float]:
@@ -94,14 +86,10 @@ def signal_matrix(base: DataFrame, tables: list[DataFrame], key: str = "fp") ->
     return reduce(lambda a, b: a.join(b, key, "left"), tables, base)
 
 
-def fit_fusion(train: DataFrame, names=MATRIX, cfg: FusionConfig = FusionConfig(),
-               label: str = "label") -> MultilayerPerceptronClassificationModel:
-    """Small multilayer perceptron over the signal columns."""
-    d = VectorAssembler(inputCols=list(names), outputCol="_x").transform(train).select(label, "_x")
-    return MultilayerPerceptronClassifier(
-        layers=[len(names), *cfg.hidden, 2], featuresCol="_x", labelCol=label,
-        probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
-        maxIter=cfg.max_iter, seed=cfg.seed).fit(d)
+def fit_fusion(rows: DataFrame, names=MATRIX, cfg: FusionConfig = FusionConfig(),
+               label: str = "label") -> perceptron.Head:
+    """Small perceptron over the signal columns, fitted on train rows and stopped by val rows (``split``)."""
+    return perceptron.fit(rows, list(names), label, cfg)
 
 
 def interactions(df: DataFrame, names=MATRIX) -> tuple[DataFrame, list[str]]:
@@ -119,7 +107,9 @@ def fit_linear_fusion(train: DataFrame, names=MATRIX, label: str = "label") -> L
 
 def fused(df: DataFrame, model, names=MATRIX, out: str = "final_prob", linear: bool = False) -> DataFrame:
     """Fused probability of the machine class."""
-    d, columns = interactions(df, names) if linear else (df, list(names))
+    if not linear:
+        return df.withColumn(out, model.probability([F.col(n) for n in names]))
+    d, columns = interactions(df, names)
     d = VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="keep").transform(d)
     d = model.transform(d).withColumn(out, vector_to_array("_prob")[1])
     return d.drop("_x", "_raw", "_prob", "_pred", *[c for c in columns if c not in names])

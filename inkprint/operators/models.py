@@ -10,10 +10,8 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, LogisticRegression,
-)
-from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +19,7 @@ from pyspark.sql import functions as F
 from inkprint.config import GenreConfig, SemanticConfig, StyloConfig
 from inkprint.functions import text
 from inkprint.functions.lexicons import FEATURE_NAMES, FORMAL_GENRES, GENRES
+from inkprint.operators import boosting
 
 
 def tokens_and_pairs(df: DataFrame, text_col: str, max_tokens: int | None) -> DataFrame:
@@ -125,101 +124,43 @@ def scale(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
 
 @dataclass
 class StyloModel:
-    trees: GBTClassificationModel
+    trees: boosting.Boosted
     stats: dict[str, tuple[float, float]]
     names: list[str] = field(default_factory=list)
 
     def probability(self, df: DataFrame, out: str = "stylometric") -> DataFrame:
         """Score rows that carry the feature columns; those stay unscaled."""
-        stats = {n: self.stats[n] for n in self.names}
-        scaled = [((F.col(n) - F.lit(m)) / F.lit(s)).alias(f"_z_{n}") for n, (m, s) in stats.items()]
-        d = df.select("*", *scaled)
-        d = VectorAssembler(inputCols=[f"_z_{n}" for n in self.names], outputCol="_x",
-                            handleInvalid="keep").transform(d)
-        return self.trees.transform(d).withColumn(out, vector_to_array("_prob")[1]).drop(
-            *_WORK, *[f"_z_{n}" for n in self.names])
+        scaled = [(F.col(n) - F.lit(m)) / F.lit(s) for n, (m, s) in ((n, self.stats[n]) for n in self.names)]
+        return df.withColumn(out, self.trees.probability(scaled))
 
     def importances(self, spark: SparkSession) -> DataFrame:
         """(feature, importance), one row per feature, largest first."""
-        rows = [(n, float(v)) for n, v in zip(self.names, self.trees.featureImportances.toArray())]
+        rows = [(n, float(v)) for n, v in zip(self.names, self.trees.importances())]
         return spark.createDataFrame(rows, "feature string, importance double").orderBy(
             F.desc("importance"), "feature")
 
     def save(self, path: str) -> None:
-        spark = SparkSession.active()
-        self.trees.write().overwrite().save(f"{path}/trees")
-        meta = json.dumps({"stats": self.stats, "names": self.names})
-        spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        meta = json.dumps({"stats": self.stats, "names": self.names, "trees": self.trees.to_dict()})
+        SparkSession.active().createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
     def load(cls, path: str) -> StyloModel:
-        meta = json.loads(SparkSession.active().read.text(f"{path}/meta").first()["value"])
-        return cls(GBTClassificationModel.load(f"{path}/trees"),
-                   {k: tuple(v) for k, v in meta["stats"].items()}, meta["names"])
-
-
-def patience_stop(losses: list[float], patience: int) -> tuple[int, bool]:
-    """Best round (from 1), and whether patience ran out after it."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
-    """The model of the first ``n`` rounds alone, parameters as they were."""
-    java, sc = model._java_obj, SparkSession.active().sparkContext
-    old, weights = java.trees(), java.treeWeights()
-    trees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
-    steps = sc._gateway.new_array(sc._jvm.double, n)
-    for i in range(n):
-        trees[i], steps[i] = old[i], weights[i]
-    cut = GBTClassificationModel(sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(
-        java.uid(), trees, steps, java.numFeatures()))
-    return model._copyValues(cut)
+        meta = json.loads(SparkSession.active().read.text(path, wholetext=True).first()["value"])
+        return cls(boosting.Boosted.from_dict(meta["trees"]), {k: tuple(v) for k, v in meta["stats"].items()}, meta["names"])
 
 
 def fit_stylometric(features: DataFrame, names=FEATURE_NAMES, cfg: StyloConfig = StyloConfig(),
                     label: str = "label") -> StyloModel:
-    """Boosted trees on train rows, stopped by the loss on val rows (``split``).
-
-    Boosting runs a first stretch of rounds and doubles it until the val loss has
-    not improved for ``patience`` rounds; the tree list is then cut to the best
-    prefix. Rounds are seeded one by one, so that is what fewer rounds would fit.
-    """
+    """Boosted trees on train rows, stopped by the loss on val rows (``split``)."""
     names = list(names)
     stats = fit_scaler(features.where(F.col("split") == "train"), names)
-    d = scale(features.where(F.col("split").isin("train", "val")).select(
-        label, "split", *names), stats)
-    d = VectorAssembler(inputCols=names, outputCol="_x", handleInvalid="keep").transform(d).select(
-        label, "split", "_x")
-    train, val = d.where(F.col("split") == "train"), d.where(F.col("split") == "val")
-
-    def boosted(rounds):
-        return GBTClassifier(
-            featuresCol="_x", labelCol=label, predictionCol="_pred", maxIter=rounds,
-            maxDepth=cfg.depth, stepSize=cfg.step, subsamplingRate=cfg.row_fraction,
-            featureSubsetStrategy=cfg.feature_fraction, minInstancesPerNode=cfg.min_rows_per_leaf,
-            maxBins=cfg.max_bins, seed=cfg.seed).setProbabilityCol("_prob").setRawPredictionCol("_raw").fit(train)
-
-    if val.isEmpty():
-        return StyloModel(boosted(cfg.trees), stats, names)
-    rounds = min(cfg.trees, cfg.first_rounds)
-    while True:
-        trees = boosted(rounds)
-        best, stopped = patience_stop(trees.evaluateEachIteration(val), cfg.patience)
-        if stopped or rounds == cfg.trees:
-            break
-        rounds = min(cfg.trees, rounds * 2)
-    return StyloModel(first_trees(trees, best) if best < rounds else trees, stats, names)
+    d = scale(features.where(F.col("split").isin("train", "val")).select(label, "split", *names), stats)
+    return StyloModel(boosting.fit(d, names, label, cfg), stats, names)
 
 
 def pruned_names(model: StyloModel, threshold: float) -> list[str]:
     """Features at or above the importance threshold, most important first."""
-    pairs = zip(model.names, model.trees.featureImportances.toArray())
+    pairs = zip(model.names, model.trees.importances().tolist())
     kept = sorted(((n, v) for n, v in pairs if v >= threshold), key=lambda p: (-p[1], p[0]))
     return [n for n, _ in kept]
 

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
+from functools import cached_property, reduce
 
-from pyspark.ml.classification import MultilayerPerceptronClassificationModel
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,8 @@ from inkprint.functions import text
 from inkprint.functions.lexicons import EXPLAINED_FEATURES, FEATURE_NAMES
 from inkprint.functions.stylometry import with_stylometry
 from inkprint.operators import fusion, metrics, models, ngram
+from inkprint.operators.isotonic import Isotonic
+from inkprint.operators.perceptron import Head
 from inkprint.operators.cleaning import scorable_text
 from inkprint.session import materialise, scratch_path
 
@@ -84,6 +85,15 @@ def explain_features(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.unpivot([key], list(EXPLAINED_FEATURES), "feature", "value")
 
 
+def score_sentences(df: DataFrame, semantic: models.TextModel, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Semantic score of each sentence, uncalibrated, structure kept."""
+    ready = scorable_text(df.select(key, text_col), col=text_col)
+    rows = sentence_rows(ready.where(~F.col("too_short")), key=key)
+    d = models.semantic_probability(rows, semantic, "prob", "sentence")
+    p = F.col("prob")
+    return d.withColumns({"label": verdict(p), "confidence": confidence(p), "band": sentence_band(p)})
+
+
 # What an explanation shows, in order.
 EXPLAINED_SIGNALS = ("semantic", "stylometric", "ratio_signal", "formality", "final_prob")
 
@@ -98,9 +108,9 @@ class Detector:
     stylo: models.StyloModel
     ngrams: ngram.NgramModel
     genre: models.TextModel
-    semantic_cal: IsotonicRegressionModel
-    stylometric_cal: IsotonicRegressionModel
-    head: MultilayerPerceptronClassificationModel | None
+    semantic_cal: Isotonic
+    stylometric_cal: Isotonic
+    head: Head | None
     meta: fusion.FusionMeta
 
     def raw_signals(self, df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,13 +163,7 @@ class Detector:
         return metrics.comparison_table(signals, order)
 
     def score_sentences(self, df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Semantic score of each sentence, uncalibrated, structure kept."""
-        ready = scorable_text(df.select(key, text_col), col=text_col)
-        rows = sentence_rows(ready.where(~F.col("too_short")), key=key)
-        d = models.semantic_probability(rows, self.semantic, "prob", "sentence")
-        p = F.col("prob")
-        return d.withColumns({"label": verdict(p), "confidence": confidence(p),
-                              "band": sentence_band(p)})
+        return score_sentences(df, self.semantic, key, text_col)
 
     def report(self, df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Document score with sentence statistics, length flag and conflict."""
@@ -174,11 +178,10 @@ class Detector:
         self.semantic.save(f"{path}/semantic")
         self.genre.save(f"{path}/genre")
         self.stylo.save(f"{path}/stylo")
-        for part in ("semantic_cal", "stylometric_cal", "head"):
-            getattr(self, part).write().overwrite().save(f"{path}/{part}")
         for name in ("trigrams", "bigrams", "unigrams", "after_one", "after_two"):
             self.ngrams.table(spark, name).write.mode("overwrite").parquet(f"{path}/ngrams/{name}")
-        meta = {"fusion": asdict(self.meta), "tokens": self.ngrams.tokens,
+        meta = {"fusion": asdict(self.meta), "head": self.head.to_dict(), "semantic_cal": self.semantic_cal.to_dict(),
+                "stylometric_cal": self.stylometric_cal.to_dict(), "tokens": self.ngrams.tokens,
                 "vocabulary": self.ngrams.vocabulary, "ratio": asdict(self.ngrams.cfg),
                 "semantic_tokens": self.semantic.max_tokens, "genre_tokens": self.genre.max_tokens}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode(
@@ -186,7 +189,7 @@ class Detector:
 
     @classmethod
     def load(cls, path: str) -> Detector:
-        meta = json.loads(SparkSession.active().read.text(f"{path}/meta").first()["value"])
+        meta = json.loads(SparkSession.active().read.text(f"{path}/meta", wholetext=True).first()["value"])
         fm = meta["fusion"]
         return cls(
             models.TextModel.load(f"{path}/semantic", meta["semantic_tokens"]),
@@ -194,49 +197,116 @@ class Detector:
             ngram.NgramModel(f"{path}/ngrams", meta["tokens"], meta["vocabulary"],
                              RatioConfig(**meta["ratio"])),
             models.TextModel.load(f"{path}/genre", meta["genre_tokens"]),
-            IsotonicRegressionModel.load(f"{path}/semantic_cal"),
-            IsotonicRegressionModel.load(f"{path}/stylometric_cal"),
-            MultilayerPerceptronClassificationModel.load(f"{path}/head"),
+            Isotonic.from_dict(meta["semantic_cal"]), Isotonic.from_dict(meta["stylometric_cal"]), Head.from_dict(meta["head"]),
             fusion.FusionMeta(fm["p_low"], fm["p_high"], tuple(fm["names"])))
 
 
-def train_detector(corpus: DataFrame, genres: DataFrame, key: str = "doc_id",
-                   stylo: StyloConfig = StyloConfig(), semantic: SemanticConfig = SemanticConfig(),
-                   genre: GenreConfig = GenreConfig(), ratio: RatioConfig = RatioConfig(),
-                   fuse: FusionConfig = FusionConfig(),
-                   names: tuple[str, ...] = fusion.MATRIX) -> tuple[Detector, DataFrame]:
-    """Fit everything from split, labelled text; returns the detector and its signals.
+class Training:
+    """The parts of a detector, each fitted when it is first used.
 
-    ``names`` picks the columns that are fused: the first two or three make the
-    smaller detectors.
+    ``corpus`` holds (key, text, label, split), ``genres`` (text, label, split). Base models,
+    counts and percentiles see train rows only; calibration and the stopping rules see
+    val rows. ``names`` picks the columns that are fused: the first two or three make
+    the smaller detectors.
 
-    ``corpus`` holds (key, text, label, split), ``genres`` (text, label, split).
-    Base models, counts and percentiles see train rows only; calibration sees
-    val rows. The raw signals are written once, keyed, and all later steps read
-    them instead of the text.
+    The head is fitted on train rows whose semantic, stylometric and ratio signals come from
+    models of the other ``folds``: a model scores the rows it was fitted on too well, and a
+    head that sees such scores trusts them too much. Rows are dealt into folds by a hash of
+    their key; val, test and new rows are scored by the models of all train rows.
     """
-    train = corpus.where(F.col("split") == "train")
-    features = materialise(with_stylometry(corpus.select(key, "text", "label", "split")).drop("text"), "features")
-    stylo_model = models.fit_pruned(features, stylo)[1]
-    semantic_model = models.fit_semantic(train, semantic)
-    genre_model = models.fit_genre(genres.where(F.col("split") == "train"), genre, semantic)
-    counts = ngram.fit(train, ratio, scratch_path(corpus.sparkSession, "ngrams"))
-
-    slim = corpus.select(key, "text", "label", "split")
-    text_signals = models.genre_signals(
-        models.semantic_probability(slim, semantic_model), genre_model).drop("text", "genre_info")
-    raw = materialise(
-        text_signals.join(stylo_model.probability(features).select(key, "stylometric"), key)
-        .join(ngram.ratios(slim, counts, key=key), key), "signals")
-
-    val = raw.where(F.col("split") == "val").withColumn(
-        "semantic", fusion.unsaturated(F.col("semantic"), fuse.saturation))
-    sem_cal = fusion.fit_isotonic(val, "semantic")
-    sty_cal = fusion.fit_isotonic(val, "stylometric")
-    low, high = fusion.exact_percentiles(
-        raw.where(F.col("split") == "train"), "ratio", [fuse.low_percentile, fuse.high_percentile])
-    detector = Detector(semantic_model, stylo_model, counts, genre_model, sem_cal, sty_cal,
-                        None, fusion.FusionMeta(low, high, names))
-    fit_rows = detector.matrix(raw).where(F.col("split") == "train")
-    detector.head = fusion.fit_fusion(fit_rows, names, fuse)
-    return detector, raw
+
+    def __init__(self, corpus: DataFrame, genres: DataFrame, key: str = "doc_id", stylo: StyloConfig = StyloConfig(),
+                 semantic: SemanticConfig = SemanticConfig(), genre: GenreConfig = GenreConfig(),
+                 ratio: RatioConfig = RatioConfig(), fuse: FusionConfig = FusionConfig(),
+                 names: tuple[str, ...] = fusion.MATRIX):
+        self.corpus, self.genres, self.key, self.names = corpus, genres, key, names
+        self.stylo_cfg, self.semantic_cfg, self.genre_cfg, self.ratio_cfg, self.fuse_cfg = stylo, semantic, genre, ratio, fuse
+
+    def _train(self, rows: DataFrame) -> DataFrame:
+        return rows.where(F.col("split") == "train")
+
+    @cached_property
+    def semantic(self) -> models.TextModel:
+        return models.fit_semantic(self._train(self.corpus), self.semantic_cfg)
+
+    @cached_property
+    def genre(self) -> models.TextModel:
+        return models.fit_genre(self._train(self.genres), self.genre_cfg, self.semantic_cfg)
+
+    @cached_property
+    def ngrams(self) -> ngram.NgramModel:
+        return ngram.fit(self._train(self.corpus), self.ratio_cfg, scratch_path(self.corpus.sparkSession, "ngrams"))
+
+    @cached_property
+    def features(self) -> DataFrame:
+        """Features of every row, written once; the text stays behind."""
+        slim = self.corpus.select(self.key, "text", "label", "split")
+        return materialise(with_stylometry(slim).drop("text"), "features")
+
+    @cached_property
+    def first_trees(self) -> models.StyloModel:
+        """Trees on all features: their importances decide which are kept."""
+        return models.fit_stylometric(self.features, FEATURE_NAMES, self.stylo_cfg)
+
+    @cached_property
+    def trees(self) -> models.StyloModel:
+        return models.fit_pruned(self.features, self.stylo_cfg, self.first_trees)[1]
+
+    def _scored(self, rows: DataFrame, semantic: models.TextModel, trees: models.StyloModel,
+                counts: ngram.NgramModel) -> DataFrame:
+        """(key, label, split, four raw signals) of corpus rows by the models given."""
+        key = self.key
+        slim = rows.select(key, "text", "label", "split")
+        by_text = models.genre_signals(models.semantic_probability(slim, semantic), self.genre).drop("text", "genre_info")
+        styled = trees.probability(self.features.join(rows.select(key), key, "left_semi")).select(key, "stylometric")
+        return by_text.join(styled, key).join(ngram.ratios(slim, counts, key=key), key)
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        """Raw signals of every row by the detector's own models."""
+        return materialise(self._scored(self.corpus, self.semantic, self.trees, self.ngrams), "signals")
+
+    def fold(self) -> Column:
+        """The fold of a row, by its key alone."""
+        return F.pmod(F.xxhash64(F.col(self.key), F.lit("fold")), F.lit(self.fuse_cfg.folds))
+
+    @cached_property
+    def head_signals(self) -> DataFrame:
+        """Raw signals to fit the head on: those of train rows come from models that never saw the row."""
+        folds = self.fuse_cfg.folds
+        if folds < 2:
+            return self.signals
+        # The rounds are those of the detector's trees: a fold has no val rows of its own.
+        rounds = replace(self.stylo_cfg, trees=max(1, len(self.trees.trees.trees)))
+        parts = [self.signals.where(F.col("split") != "train")]
+        for k in range(folds):
+            mine = (F.col("split") == "train") & (self.fold() == k)
+            others = self._train(self.corpus).where(self.fold() != k)
+            trees = models.fit_stylometric(self._train(self.features).where(self.fold() != k), self.trees.names, rounds)
+            counts = ngram.fit(others, self.ratio_cfg, scratch_path(self.corpus.sparkSession, "ngrams"))
+            parts.append(self._scored(self.corpus.where(mine), models.fit_semantic(others, self.semantic_cfg), trees, counts))
+        return materialise(reduce(DataFrame.unionByName, parts), "head-signals")
+
+    @cached_property
+    def unfused(self) -> Detector:
+        """The detector without its head: models, calibrators and percentiles."""
+        cfg, val = self.fuse_cfg, self.signals.where(F.col("split") == "val")
+        clipped = val.withColumn("semantic", fusion.unsaturated(F.col("semantic"), cfg.saturation))
+        low, high = fusion.exact_percentiles(
+            self._train(self.signals), "ratio", [cfg.low_percentile, cfg.high_percentile])
+        return Detector(self.semantic, self.trees, self.ngrams, self.genre, fusion.fit_isotonic(clipped, "semantic"),
+                        fusion.fit_isotonic(val, "stylometric"), None, fusion.FusionMeta(low, high, self.names))
+
+    @cached_property
+    def head_rows(self) -> DataFrame:
+        return self.unfused.matrix(self.head_signals)
+
+    @cached_property
+    def detector(self) -> Detector:
+        return replace(self.unfused, head=fusion.fit_fusion(self.head_rows, self.names, self.fuse_cfg))
+
+
+def train_detector(corpus: DataFrame, genres: DataFrame, **settings) -> tuple[Detector, DataFrame]:
+    """Fit everything from split, labelled text; returns the detector and the signals of its rows."""
+    training = Training(corpus, genres, **settings)
+    return training.detector, training.signals

@@ -9,7 +9,7 @@ from inkprint.functions.lexicons import FEATURE_NAMES, GENRES
 from inkprint.functions.stats import round6
 from inkprint.functions.stylometry import with_stylometry
 from inkprint.operators import corpus, fusion, langid, models, ngram
-from inkprint.operators.scoring import train_detector
+from inkprint.operators.scoring import Training
 from inkprint.plans.corpus_queries import genre_rows
 from inkprint.plans.sql import (
     SIGNALS, STYLED, clean_sql, documents, h01, h01_col, r6, scored, scored_sql, table, tokens_sql, turns,
@@ -34,7 +34,7 @@ STYLO = StyloConfig()  # the published boosting, whatever the size of the tables
 
 
 def fitted(s, sf):
-    """The detector for a data folder, trained once per application.
+    """The training for a data folder, one per application; each part is fitted when a query first needs it.
 
     Human and machine text are the user and assistant turns; the four genre
     classes are the document languages.
@@ -43,8 +43,8 @@ def fitted(s, sf):
     if key not in _FITTED:
         rows = materialise(corpus.stratified_split(turns(s, sf), 0.15, 0.15), "rows")
         genres = materialise(corpus.stratified_split(genre_rows(s, sf).select(
-            "doc_id", F.substring("text", 1, 1500).alias("text"), "label"), 0.1, 0.1), "genres")
-        _FITTED[key] = (*train_detector(rows, genres, stylo=STYLO), rows)
+            "doc_id", "text", "label"), 0.1, 0.1), "genres")
+        _FITTED[key] = Training(rows, genres, stylo=STYLO)
     return _FITTED[key]
 
 
@@ -54,48 +54,47 @@ def _rounded(df, *cols):
 
 # --- trained models: no SQL equivalent ---------------------------------------------
 _add("m01_semantic_probability",
-     lambda s, sf: _rounded(models.semantic_probability(turns(s, sf), fitted(s, sf)[0].semantic)
+     lambda s, sf: _rounded(models.semantic_probability(turns(s, sf), fitted(s, sf).semantic)
                             .select("doc_id", "semantic"), "semantic"))
 
 
-def _style_scores(s, sf):
-    d = with_stylometry(turns(s, sf).select("doc_id", "text"))
-    return _rounded(fitted(s, sf)[0].stylo.probability(d).select("doc_id", "stylometric"), "stylometric")
-
-
-def _split_style(s, sf):
-    d = materialise(with_stylometry(fitted(s, sf)[2].select("doc_id", "text", "label", "split")), "style")
-    return models.fit_stylometric(d.drop("text"), FEATURE_NAMES, STYLO).probability(d).select(
-        "doc_id", round6(F.col("stylometric")).alias("stylometric"))
+def _style_scores(model):
+    """All turns scored by the trees on all features, or by those on the kept ones."""
+    def build(s, sf):
+        d = with_stylometry(turns(s, sf).select("doc_id", "text"))
+        return _rounded(getattr(fitted(s, sf), model).probability(d).select("doc_id", "stylometric"), "stylometric")
+    return build
 
 
-_add("m03_stylometric_trees", _split_style)
-_add("m04_stylometric_scoring", _style_scores)
+_add("m03_stylometric_trees", _style_scores("first_trees"))
+_add("m04_stylometric_scoring", _style_scores("trees"))
 _add("m05_pruned_features",
      lambda s, sf: s.createDataFrame(
-         [(i, n) for i, n in enumerate(fitted(s, sf)[0].stylo.names)], "place int, feature string"))
+         [(i, n) for i, n in enumerate(fitted(s, sf).trees.names)], "place int, feature string"))
 _add("m06_feature_importance",
-     lambda s, sf: _rounded(fitted(s, sf)[0].stylo.importances(s), "importance"))
+     lambda s, sf: _rounded(fitted(s, sf).trees.importances(s), "importance"))
 
 
 def _genre_probs(s, sf):
-    d = models.genre_signals(documents(s, sf), fitted(s, sf)[0].genre)
+    d = models.genre_signals(documents(s, sf), fitted(s, sf).genre)
     return d.select("doc_id", "genre_info.genre", *[
         round6(F.col(f"genre_info.p_{g}")).alias(f"p_{g}") for g in GENRES],
         round6(F.col("formality")).alias("formality"))
 
 
 _add("m08_genre_probabilities", _genre_probs)
+_add("m13_out_of_fold_signals",
+     lambda s, sf: _rounded(fitted(s, sf).head_signals.select("doc_id", "label", "split", *SIGNALS), *SIGNALS))
 _add("m14_fusion",
-     lambda s, sf: _rounded(fitted(s, sf)[0].fuse(fitted(s, sf)[1].drop("label")).select(
+     lambda s, sf: _rounded(fitted(s, sf).detector.fuse(fitted(s, sf).signals.drop("label")).select(
          "doc_id", "final_prob"), "final_prob"))
 
 
 def _linear(s, sf):
-    detector, raw, _ = fitted(s, sf)
-    m = detector.matrix(raw)
-    head = fusion.fit_linear_fusion(m.where(F.col("split") == "train"))
-    return _rounded(fusion.fused(m, head, linear=True).select("doc_id", "final_prob"), "final_prob")
+    training = fitted(s, sf)
+    head = fusion.fit_linear_fusion(training.head_rows.where(F.col("split") == "train"))
+    return _rounded(fusion.fused(training.unfused.matrix(training.signals), head, linear=True).select(
+        "doc_id", "final_prob"), "final_prob")
 
 
 _add("m14_linear_baseline", _linear)
@@ -103,13 +102,13 @@ _add("m14_linear_baseline", _linear)
 
 def _importance_file(s, sf):
     path = scratch_path(s, "importance")
-    sinks.write_importances(fitted(s, sf)[0].stylo.importances(s), path)
+    sinks.write_importances(fitted(s, sf).trees.importances(s), path)
     return s.read.schema("feature string, importance double").option("header", True).csv(path)
 
 
 def _feature_lists(s, sf):
     path = scratch_path(s, "active")
-    sinks.write_feature_list(s, fitted(s, sf)[0].stylo.names, path)
+    sinks.write_feature_list(s, fitted(s, sf).trees.names, path)
     return s.createDataFrame([(n,) for n in sinks.read_feature_list(s, path)], "feature string")
 
 

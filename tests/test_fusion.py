@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkprint.operators import fusion
-from inkprint.operators.models import patience_stop
+from inkprint.config import FusionConfig
+from inkprint.operators import fusion, isotonic
 
 
 def pools(points):
@@ -76,16 +76,32 @@ def test_signals_join_by_key_not_position(spark):
 
 def test_heads_learn_a_separable_signal(spark):
     d = spark.range(400).select(
-        (F.col("id") % 2).cast("int").alias("label"),
+        (F.col("id") % 2).cast("int").alias("label"), F.when(F.col("id") % 5 == 0, "val").otherwise("train").alias("split"),
         *[(F.rand(i) * 0.4 + 0.6 * (F.col("id") % 2)).alias(n) for i, n in enumerate(fusion.MATRIX)])
-    for fit, linear in ((fusion.fit_fusion, False), (fusion.fit_linear_fusion, True)):
+    quick = lambda d: fusion.fit_fusion(d, cfg=FusionConfig(batch_rows=16, rate=0.01))
+    for fit, linear in ((quick, False), (fusion.fit_linear_fusion, True)):
         scored = fusion.fused(d, fit(d), linear=linear)
         right = scored.where((F.col("final_prob") >= 0.5) == (F.col("label") == 1)).count()
         assert right > 390
 
 
-def test_patience():
-    assert patience_stop([5, 4, 3, 4, 4, 4], 3) == (3, True)
-    assert patience_stop([5, 4, 3, 4, 4, 4], 4) == (3, False)
-    assert patience_stop([3, 3, 3], 2) == (1, True)
-    assert patience_stop([3, 2, 1], 2) == (3, False)
+@pytest.mark.parametrize("group", [2, 7, 100])
+def test_groups_of_any_size_pool_alike(spark, group):
+    """Seams, runs of falling means over many groups, and one pool for all."""
+    rng = random.Random(group)
+    cases = [[(x / 90, int(rng.random() < x / 90)) for x in range(90)], [(x / 60, int(x < 30)) for x in range(60)],
+             [(x / 50, int(x > 20)) for x in range(50)], [(0.5, 1), (0.5, 0)], [(0.1, 1)]]
+    for points in cases:
+        d = spark.createDataFrame(points, "p double, label int").repartition(4)
+        model = isotonic.fit(d, "p", "label", group)
+        want = pools(points)
+        assert np.interp(list(want), model.x, model.y) == pytest.approx(list(want.values()))
+        assert (np.diff(model.y) >= 0).all() and len(set(model.y.tolist())) == len(set(want.values()))
+
+
+def test_calibration_without_rows_and_of_nulls(spark):
+    d = spark.createDataFrame([(None, 1), (0.2, None)], "p double, label int")
+    model = isotonic.fit(d, "p", "label")
+    assert [r["c"] for r in fusion.calibrated(d, model, "p", "c").collect()][0] is None
+    model = isotonic.Isotonic(np.array([0.0, 1.0]), np.array([0.0, 0.5]))
+    assert [r["c"] for r in fusion.calibrated(d, model, "p", "c").collect()] == [None, pytest.approx(0.1)]

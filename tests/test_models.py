@@ -4,7 +4,7 @@ from inkprint.config import StyloConfig
 from inkprint.functions.lexicons import GENRES
 from inkprint.operators import models
 
-QUICK = StyloConfig(trees=12, first_rounds=6, patience=3, depth=3)
+QUICK = StyloConfig(trees=12, rounds_per_job=6, patience=3, depth=3, step=0.3)
 
 
 def labelled(spark, n=300):
@@ -58,26 +58,16 @@ def test_genre_of_probabilities(spark):
     assert [round(r["f"], 9) for r in got] == [0.5, 0.1]
 
 
-def test_first_trees_are_what_fewer_rounds_fit(spark, tmp_path):
-    d = models.VectorAssembler(inputCols=["strong", "noise"], outputCol="_x").transform(labelled(spark)).cache()
-    learner = models.GBTClassifier(featuresCol="_x", labelCol="label", maxIter=6, maxDepth=3, stepSize=0.03,
-                                   subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=42).setProbabilityCol("_prob")
-    cut, few = models.first_trees(learner.fit(d), 3), learner.setMaxIter(3).fit(d)
-    assert cut.getNumTrees == 3 and cut.treeWeights == few.treeWeights and cut.toDebugString.split("\n")[1:] == few.toDebugString.split("\n")[1:]
-    cut.write().save(str(tmp_path / "cut"))
-    again = models.GBTClassificationModel.load(str(tmp_path / "cut"))
-    assert again.transform(d).select("_prob").collect() == few.transform(d).select("_prob").collect()
-
-
-def test_registered_models_use_the_published_boosting(spark, small, monkeypatch):
+def test_registered_models_use_the_published_boosting(spark, small):
+    """The trees of every query come from one training with the published settings."""
+    from inkprint.functions.lexicons import FEATURE_NAMES
     from inkprint.plans import model_queries
-
-    seen = []
-    monkeypatch.setattr(model_queries, "_FITTED", {})
-    monkeypatch.setattr(model_queries, "train_detector", lambda *a, stylo, **k: seen.append(stylo) or (None, None))
-    monkeypatch.setattr(models, "fit_stylometric", lambda d, names, cfg: seen.append(cfg) or models.StyloModel(None, {}))
-    try:
-        model_queries._split_style(spark, small)
-    except AttributeError:
-        pass  # there is no model to score with
-    assert seen == [StyloConfig(), StyloConfig()]
+    from inkprint.plans.registry import queries
+
+    training = model_queries.fitted(spark, small)
+    assert training.stylo_cfg == StyloConfig() and training is model_queries.fitted(spark, small)
+    assert len(training.first_trees.names) == len(FEATURE_NAMES)
+    for name in ("m03_stylometric_trees", "m04_stylometric_scoring"):
+        scores = [r["stylometric"] for r in queries()[name](spark, small).collect()]
+        assert scores and all(0 <= p <= 1 for p in scores)
+    assert "detector" not in vars(training)  # trees alone were fitted

@@ -39,7 +39,7 @@ def test_detector_end_to_end(spark, small, tmp_path):
     from inkprint.plans.sql import documents
     from inkprint.streaming.inbox import score_inbox
 
-    detector = fitted(spark, small)[0]
+    detector = fitted(spark, small).detector
     docs = documents(spark, small)
     got = detector.report(docs)
     rows = got.select("doc_id", "status", "final_prob", "label", "n_total").collect()
@@ -65,3 +65,41 @@ def test_detector_end_to_end(spark, small, tmp_path):
     (inbox / "c.txt").write_text("Another sentence arrives a little later. " * 8)
     second = score_inbox(spark, detector, *paths)
     assert second.count() == 3 and second.select("path").distinct().count() == 3
+
+
+def test_no_row_is_scored_by_a_model_that_saw_it(spark, small, monkeypatch):
+    """Every text, tree and count model of a fold is fitted without that fold's rows, and scores no others."""
+    from inkprint.operators import models, ngram
+    from inkprint.plans.model_queries import fitted
+
+    full = fitted(spark, small)
+    training = scoring.Training(full.corpus, full.genres)
+    training.__dict__.update(semantic=full.semantic, genre=full.genre, ngrams=full.ngrams, features=full.features,
+                             trees=full.trees, signals=full.signals)
+    key, seen = training.key, []
+    ids = lambda rows: {r[0] for r in rows.select(key).collect()}
+
+    def watch(module, name):
+        real = getattr(module, name)
+
+        def spy(rows, *a, **k):
+            model = real(rows, *a, **k)
+            seen.append((name, model, ids(rows)))
+            return model
+        monkeypatch.setattr(module, name, spy)
+
+    watch(models, "fit_semantic")
+    watch(models, "fit_stylometric")
+    watch(ngram, "fit")
+    scored = []
+    real = training._scored
+    monkeypatch.setattr(training, "_scored", lambda rows, *used: scored.append((ids(rows), used)) or real(rows, *used))
+    out = training.head_signals
+    assert out.count() == full.signals.count() and out.columns == full.signals.columns
+    train = ids(training.corpus.where("split = 'train'"))
+    assert len(scored) == training.fuse_cfg.folds and set().union(*(s for s, _ in scored)) == train
+    for rows, used in scored:
+        fits = [f for _, model, f in seen if any(model is u for u in used)]
+        assert len(fits) == 3 and all(f == train - rows for f in fits)
+    rest = full.signals.where("split <> 'train'").select(key, "semantic")
+    assert out.where("split <> 'train'").select(key, "semantic").exceptAll(rest).count() == 0
