@@ -205,6 +205,8 @@ class Forest:
 class Bpe:
     """A byte-level BPE vocabulary file: ids of texts, and texts of ids."""
 
+    cached: int | None = None  # chunks kept, where CACHED_CHUNKS is too many
+
     def __init__(self, path: str):
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         vocab = spec["model"]["vocab"]
@@ -358,7 +360,7 @@ class Bpe:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has."""
         chunks, code, counts = self.chunked(texts)
-        if len(self.known) > CACHED_CHUNKS:
+        if len(self.known) > (self.cached or CACHED_CHUNKS):
             self.clear()
         new = [c for c in chunks if c not in self.known]
         if new:

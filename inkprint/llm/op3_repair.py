@@ -43,6 +43,8 @@ from inkprint.llm.words import slices
 SHARD_TOKENS = 2_000_000
 MIN_COUNT = 32
 BUCKET_BITS = 18
+CALL_CHUNKS = 8_192
+CACHED = 250_000  # chunks; Re-Pair needs the memory too
 END_ID = 0
 MAGIC = b"RPG1"
 MANIFEST = "part int, number int, temp string, file string, docs long, tokens long, symbols long, rules long, file_bytes long"
@@ -62,12 +64,17 @@ class Encoder(Bpe):
         if spelt:
             self.added, self.added_at = {}, re.compile("(?!)")
 
+    cached = CACHED
+
     def learn(self, chunks: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids, ends = [self.ids], [self.begin]
+        for at in range(0, len(chunks), CALL_CHUNKS):  # what the library returns is large
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[at:at + CALL_CHUNKS], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())))
+            ends.append(ends[-1][-1] + np.cumsum(sizes))
         self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
+        self.ids, self.begin = np.concatenate(ids), np.concatenate(ends)
 
     def __call__(self, text: str) -> bytes:
         return self.encode(pa.array([text]))[0].astype("<u4").tobytes()
