@@ -229,7 +229,18 @@ class Bpe:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.ids, self.begin, self.used = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def forget(self) -> None:
+        """Keep the chunks that came more than once in a batch since the last time; all go if that is most of them."""
+        kept = np.flatnonzero(self.used)
+        if 2 * len(kept) > len(self.known):
+            self.clear()
+            return
+        names = list(self.known)
+        self.ids, sizes = gathered(self.ids, self.begin, kept)
+        self.known = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.begin, self.used = np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(kept), bool)
 
     # --- encoding -----------------------------------------------------------------
 
@@ -347,7 +358,8 @@ class Bpe:
         place = np.zeros(2 * len(words), np.int64)
         place[used] = np.arange(len(used))
         lead = pa.array(["", " "], pa.large_string()).take(pa.array(used & 1))
-        chunks = pc.binary_join_element_wise(lead, words.take(pa.array(used >> 1)), pa.scalar("", pa.large_string())).to_pylist()
+        chunks = pc.binary_join_element_wise(lead, words.take(pa.array(used >> 1)), pa.scalar("", pa.large_string())).to_numpy(
+            zero_copy_only=False).tolist()
         if not slow.any():
             return chunks, place[code], np.diff(offsets)
         number = {c: i for i, c in enumerate(chunks)}
@@ -361,11 +373,14 @@ class Bpe:
         """Ids of all texts one after another, and how many each text has."""
         chunks, code, counts = self.chunked(texts)
         if len(self.known) > (self.cached or CACHED_CHUNKS):
-            self.clear()
+            self.forget()
         new = [c for c in chunks if c not in self.known]
         if new:
             self.learn(new)
         place = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        if len(self.used) < len(self.known):
+            self.used = np.concatenate([self.used, np.zeros(len(self.known) - len(self.used), bool)])
+        self.used[place[np.bincount(code, minlength=len(place)) > 1]] = True
         ids, sizes = gathered(self.ids, self.begin, place[code])
         reach = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
         return ids, np.diff(reach)

@@ -43,8 +43,8 @@ from inkprint.llm.words import slices
 SHARD_TOKENS = 2_000_000
 MIN_COUNT = 32
 BUCKET_BITS = 18
-CALL_CHUNKS = 8_192
-CACHED = 250_000  # chunks; Re-Pair needs the memory too
+CALL_CHUNKS = 4_096
+CACHED = 700_000  # chunks
 END_ID = 0
 MAGIC = b"RPG1"
 MANIFEST = "part int, number int, temp string, file string, docs long, tokens long, symbols long, rules long, file_bytes long"
@@ -61,20 +61,32 @@ class Encoder(Bpe):
         super().__init__(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = spelt
+        self.odd = re.compile("[\x1c-\x1f]|" + self.added_at.pattern).search
         if spelt:
             self.added, self.added_at = {}, re.compile("(?!)")
 
     cached = CACHED
 
     def learn(self, chunks: list[str]) -> None:
-        ids, ends = [self.ids], [self.begin]
-        for at in range(0, len(chunks), CALL_CHUNKS):  # what the library returns is large
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[at:at + CALL_CHUNKS], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())))
-            ends.append(ends[-1][-1] + np.cumsum(sizes))
-        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
-        self.ids, self.begin = np.concatenate(ids), np.concatenate(ends)
+        # Chunks that begin with a blank and have no other space at an edge follow each other in one
+        # text as they would alone; the bytes that each id stands for tell where one ends.
+        plain = [c for c in chunks if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() and not self.odd(c)]
+        rest = [c for c in chunks if not (len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() and not self.odd(c))]
+        ids, sizes = [self.ids], []
+        for at in range(0, len(plain), CALL_CHUNKS):
+            part = plain[at:at + CALL_CHUNKS]
+            found = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, np.int32)
+            spelt = np.cumsum(self.token_begin[found + 1] - self.token_begin[found])
+            ends = np.cumsum(np.fromiter((len(c.encode()) for c in part), np.int64, len(part)))
+            ids.append(found)
+            sizes.append(np.diff(np.searchsorted(spelt, ends, "left") + 1, prepend=0))
+        for at in range(0, len(rest), CALL_CHUNKS):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(rest[at:at + CALL_CHUNKS], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes[-1].sum())))
+        self.known.update(zip(chain(plain, rest), range(len(self.known), len(self.known) + len(chunks))))
+        self.ids = np.concatenate(ids)
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.concatenate(sizes))])
 
     def __call__(self, text: str) -> bytes:
         return self.encode(pa.array([text]))[0].astype("<u4").tobytes()
