@@ -8,9 +8,10 @@ that streams its records and starts a new file once the compressed size passes
 made anew from the payload.
 
 Defined cases: a null payload is empty; a null page_id sorts first, has no id
-header and reads back as null; a null url is written as ``about:blank``; pages that
-share the largest id of their payload are all responses; rows equal in all columns
-are all written. Other columns of the input are ignored. No rows give no files.
+header and reads back as null, and its record revisits the page with the largest id of
+its payload, or is a response where no page of that payload has an id; ids are 64-bit
+numbers throughout; a null url is written as ``about:blank``; pages that share the
+largest id of their payload are all responses; rows equal in all columns are all written. Other columns of the input are ignored. No rows give no files.
 """
 
 from __future__ import annotations
@@ -24,12 +25,11 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import quote
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import batched, few, folder, rows_by_python, running_start, stage, table, tag
+from inkprint.llm.common import folder, rows_by_python, running_start, stage, table, tag
 from inkprint.llm.files import commit, make_folder, place, spread
 
 SHARD_BYTES = 32 << 20
@@ -97,41 +97,35 @@ class _Roller:
         return row
 
 
+_ROWS = pa.schema([("shard", pa.int32()), ("number", pa.int32()), ("temp", pa.string()), ("file", pa.string()),
+                   ("records", pa.int64()), ("file_bytes", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())])
+
+
 def _writer(home: str, roll_bytes: int):
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        roller, now, keepers = None, None, {}
-        for frame in frames:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roller, now, kept = None, None, None
+        for batch in batches:
             rows = []
-            for shard, page_id, kind, digest, keeper, url, html in zip(*(frame[c].tolist() for c in (
+            for shard, page_id, kind, digest, keeper, url, html in zip(*(batch.column(c).to_pylist() for c in (
                     "shard", "page_id", "kind", "digest", "keeper", "url", "html"))):
-                page_id = None if pd.isna(page_id) else int(page_id)
                 if roller is None or roller.shard != shard:
                     if roller is not None and roller.out is not None:
                         rows.append(roller.close())
-                    roller = _Roller(home, int(shard), roll_bytes)
-                if (shard, page_id) != now:
-                    now, keepers = (shard, page_id), {}
-                if kind == 0:  # which page its payload is kept with
-                    keepers[digest] = int(keeper)
+                    roller = _Roller(home, shard, roll_bytes)
+                if (page_id, digest) != now:
+                    now, kept = (page_id, digest), None
+                if kind == 0:  # which page the payload of the next records is kept with
+                    kept = keeper
                     continue
-                payload = (html or "").encode()
-                data = record(page_id, url, payload, keepers.get(digest))
-                rows.extend(roller.add(page_id, data))
+                rows.extend(roller.add(page_id, record(page_id, url, (html or "").encode(), kept)))
             if rows:
-                yield _manifest(rows)
+                yield pa.RecordBatch.from_pylist(rows, _ROWS)
         if roller is not None and roller.out is not None:
-            yield _manifest([roller.close()])
+            yield pa.RecordBatch.from_pylist([roller.close()], _ROWS)
 
     return work
 
 
-def _manifest(rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows)
-    for c in ("first_id", "last_id"):
-        out[c] = out[c].astype("Int64")
-    return out
-
-
 def write(pages: DataFrame, home: str, *, min_revisit_bytes: int = 0, shard_bytes: int = SHARD_BYTES,
           roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write (page_id, url, html) as archives under ``home``; returns the committed manifest.
@@ -148,27 +142,32 @@ def write(pages: DataFrame, home: str, *, min_revisit_bytes: int = 0, shard_byte
     revisits = narrow.join(group, "digest").where("page_id IS NULL OR page_id < keeper").select(
         "page_id", "digest", "keeper").distinct()
     size = max(shard_bytes, -(-(narrow.agg(F.sum("bytes")).first()[0] or 0) // MAX_SHARDS))
-    # All rows of one id go to the shard in which the id starts.
-    ids = narrow.groupBy("page_id").agg(F.sum("bytes").alias("bytes"))
-    starts = running_start(ids.where("page_id IS NOT NULL"), ["page_id"], "bytes", "warc-order")
-    cuts = [r[0] for r in starts.groupBy(F.floor(F.col("start") / size)).agg(
-        F.min("page_id").alias("first")).orderBy("first").select("first").collect()]
+    # All rows of one id go to the shard in which the id starts; rows without an id are dealt by digest.
+    part = F.when(F.col("page_id").isNull(), F.col("digest")).otherwise("")
+    ids = narrow.withColumn("part", part).groupBy("page_id", "part").agg(F.sum("bytes").alias("bytes"))
+    starts = running_start(ids, ["page_id", "part"], "bytes", "warc-order")
+    cuts = [_key(r["first"]["page_id"], r["first"]["part"]) for r in starts.groupBy(F.floor(F.col("start") / size).alias("shard")).agg(
+        F.min(F.struct("page_id", "part")).alias("first")).orderBy("shard").collect()]
 
-    @F.pandas_udf("int")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        return pd.Series([0 if pd.isna(i) else max(0, bisect_right(cuts, i) - 1) for i in ids], dtype="int32")
+    @F.arrow_udf("int")
+    def shard_of(ids: pa.Array, parts: pa.Array) -> pa.Array:
+        return pa.array([max(0, bisect_right(cuts, _key(i, p)) - 1) for i, p in zip(ids.to_pylist(), parts.to_pylist())], pa.int32())
 
-    batched(pages.sparkSession)
     make_folder(home)
     none = F.lit(None)
     both = rows.select("page_id", F.lit(1).alias("kind"), F.sha1(F.encode("html", "utf-8")).alias("digest"),
                        none.cast("long").alias("keeper"), "url", "html").unionByName(
         revisits.select("page_id", F.lit(0).alias("kind"), "digest", "keeper",
                         none.cast("string").alias("url"), none.cast("string").alias("html")))
-    order = ["shard", "page_id", "kind", "digest", "url"]
-    dealt = both.withColumn("shard", shard_of("page_id")).repartition(
-        max(1, len(cuts)), "shard").sortWithinPartitions(*order)
-    return commit(dealt.mapInPandas(_writer(home, roll_bytes), MANIFEST), home, "warc")
+    # A task per shard, whatever the shards' numbers hash to.
+    dealt = both.withColumn("shard", shard_of("page_id", part)).repartitionById(max(1, len(cuts)), "shard").sortWithinPartitions(
+        "shard", "page_id", "digest", "kind", "url")
+    return commit(rows_by_python(dealt, _writer(home, roll_bytes), MANIFEST), home, "warc")
+
+
+def _key(page_id: int | None, part: str) -> tuple:
+    """The order of Spark: nulls first."""
+    return page_id is not None, page_id or 0, part
 
 
 def records(stream: io.RawIOBase) -> Iterator[bytes]:
@@ -244,6 +243,6 @@ SQL = {"op2_warc": """
         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
             (1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::INTEGER, 5))::BIGINT
                 >> (15 - 5 * (i % 4))::INTEGER) & 31))::INTEGER, 1)), '') AS payload_digest,
-        CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
-        CASE WHEN page_id < keeper THEN keeper END AS refers_to, true AS digest_ok
+        CASE WHEN page_id < keeper OR (page_id IS NULL AND keeper IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN page_id < keeper OR page_id IS NULL THEN keeper END AS refers_to, true AS digest_ok
     FROM q"""}
