@@ -8,13 +8,17 @@ cuts go on with what is left of them while it is long enough. The share of an it
 words under marks, its coverage, doesn't depend on the order of passages, so shuffled
 copies are caught as well.
 
-Items are the queries. They are read in blocks of bounded size, in the order of their
-ids, and every document meets every block: a block's seeds are the only thing sent to
-all tasks, and documents are never shuffled.
+Items are the queries. They are written in blocks of bounded size, in the order of their
+ids, and every document meets every block: tasks read their block from the shared
+folder, documents are never shuffled, and a block's matches are written before the next
+pass begins, so neither the driver nor the plan grows with the items.
 
-Defined cases: a null or empty text or item has no words and no match; an item of
-fewer words than a seed matches texts that consist of just its words; rows with equal
-ids are matched one by one; ties between matches go to the earlier place in the item,
+An item shorter than a seed is looked up whole, in texts of any length, if it has
+``short_words`` words; with fewer it is no evidence inside a longer text and matches
+only texts that consist of just its words.
+
+Defined cases: a null or empty text or item has no words and no match; a null item_id is
+matched like any other and returned as null; rows with equal ids are matched one by one; ties between matches go to the earlier place in the item,
 then in the text; other columns are ignored; empty tables give no rows.
 """
 
@@ -25,15 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import filled, numbered, rows_by_python, running_start, stage, table
+from inkprint.llm.common import filled, folder, numbered, rows_by_python, running_start, stage, table
+from inkprint.llm.files import place
 from inkprint.llm.words import bounds, hashes, shingle_hashes, slices
 
 SEED_WORDS = 5
 COVERAGE = 0.5
 BLOCK_WORDS = 500_000
+SHORT_WORDS = 3
 PAIRS = ("doc_id long, item_id long, matched_words long, item_words long, coverage double, tiles int, "
          "longest int, spans array<struct<start:int,end:int>>")
 
@@ -97,11 +104,19 @@ def tile(found: list[tuple[int, int, int]], item_words: int, doc_words: int, lea
 class Block:
     """Items with an index of their seeds."""
 
-    def __init__(self, ids: list, texts: list, k: int):
+    def __init__(self, ids: list, texts: list | pa.Array, k: int, short: int | None = None):
         self.ids, self.k, self.items = ids, k, []
-        for words, at, *_ in plain_words(pa.array(texts, pa.string())):
+        short = k if short is None else short
+        for words, at, *_ in plain_words(pa.array(texts, pa.string()) if isinstance(texts, list) else texts):
             self.items += [words[at[i]:at[i + 1]] for i in range(len(at) - 1)]
-        seeds = [shingle_hashes(w, np.array([0, len(w)]), k)[0] for w in self.items]
+        brief: dict[int, dict[int, list[int]]] = {}  # by length, then by hash of the whole item
+        for o, w in enumerate(self.items):
+            if short <= len(w) < k:
+                whole = int(shingle_hashes(w, np.array([0, len(w)]), len(w))[0][0])
+                brief.setdefault(len(w), {}).setdefault(whole, []).append(o)
+        self.brief = {n: (np.array(sorted(held), np.uint64), held) for n, held in brief.items()}
+        seeds = [np.zeros(0, np.uint64) if short <= len(w) < k else shingle_hashes(w, np.array([0, len(w)]), k)[0]
+                 for w in self.items]
         own = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
         every = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
         order = np.argsort(every, kind="stable")
@@ -116,6 +131,21 @@ class Block:
         found = np.minimum(np.searchsorted(self.seeds, shingles[at]), len(self.seeds) - 1)
         return at[self.seeds[found] == shingles[at]]
 
+    def whole(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, list]]:
+        """(row, item, its one tile) of short items that a row of ``words`` holds, at their first place."""
+        for n, (hashes_, held) in self.brief.items():
+            shingles, sat = shingle_hashes(words, at, n)
+            hits = np.flatnonzero(np.isin(shingles, hashes_))
+            rows = np.searchsorted(sat, hits, "right") - 1
+            seen = set()
+            for hit, row in zip(hits.tolist(), rows.tolist()):
+                if at[row + 1] - at[row] < n:
+                    continue  # a text of fewer words is one hash of another length
+                for o in held[int(shingles[hit])]:
+                    if (row, o) not in seen:
+                        seen.add((row, o))
+                        yield row, o, [(n, 0, hit - int(sat[row]))]
+
     def pairs(self, doc: np.ndarray, shingles: np.ndarray, seeds: np.ndarray) -> Iterator[tuple[int, list]]:
         low = np.searchsorted(self.seeds, shingles[seeds], "left")
         high = np.searchsorted(self.seeds, shingles[seeds], "right")
@@ -129,48 +159,65 @@ class Block:
 
 
 def tiled(docs: DataFrame, items: DataFrame, *, seed_words: int = SEED_WORDS, coverage: float = COVERAGE,
-          block_words: int = BLOCK_WORDS) -> DataFrame:
+          block_words: int = BLOCK_WORDS, short_words: int = SHORT_WORDS) -> DataFrame:
     """A row per (document, item) whose coverage reaches the threshold, with spans in bytes of the text."""
-    rows = items.select("item_id", filled().alias("text")).where(F.col("item_id").isNotNull())
+    spark = docs.sparkSession
+    rows = items.select("item_id", filled().alias("text"))
     sized = stage(running_start(rows.withColumn("words", F.size(F.split("text", r"\s+")).cast("long")),
                                 ["item_id", "text"], "words", "tiling-items").withColumn(
         "block", F.floor(F.col("start") / block_words)), "tiling-blocks")
-    out = None
-    for (number,) in sized.select("block").distinct().orderBy("block").collect():
-        held = [(r[0], r[1]) for r in sized.where(F.col("block") == number).orderBy("item_id", "text").select(
-            "item_id", "text").collect()]
-        found = _against(docs, held, seed_words, coverage)
-        out = found if out is None else out.union(found)
-    return docs.sparkSession.createDataFrame([], PAIRS) if out is None else out
+    found = folder(spark, "tiling-pairs")
+    blocks = [r["block"] for r in sized.select("block").distinct().orderBy("block").toLocalIterator()]
+    for number in blocks:
+        path = folder(spark, "tiling-block")
+        sized.where(F.col("block") == number).select("item_id", "text").orderBy("item_id", "text").write.parquet(path)
+        _against(docs, path, seed_words, coverage, short_words).write.mode("append").parquet(found)
+    return spark.read.schema(PAIRS).parquet(found) if blocks else spark.createDataFrame([], PAIRS)
+
 
+_FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched_words", pa.int64()),
+                    ("item_words", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32()),
+                    ("longest", pa.int32()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+_blocks: dict[tuple, Block] = {}
 
-def _against(docs: DataFrame, held: list[tuple], k: int, coverage: float) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched_words", pa.int64()),
-                        ("item_words", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32()),
-                        ("longest", pa.int32()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
+def _opened(path: str, k: int, short: int) -> Block:
+    """The block of a written table, kept by the worker for its next tasks."""
+    if (path, k, short) not in _blocks:
+        _blocks.clear()
+        store, at = place(path)
+        rows = pq.read_table(at, filesystem=store).combine_chunks()
+        _blocks[path, k, short] = Block(rows.column("item_id").to_pylist(), rows.column("text").combine_chunks(), k, short)
+    return _blocks[path, k, short]
+
+
+def _against(docs: DataFrame, path: str, k: int, coverage: float, short: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block([i for i, _ in held], [t for _, t in held], k)
+        block = _opened(path, k, short)
         for batch in batches:
             keys, row, out = batch.column("doc_id").to_pylist(), 0, []
             for words, at, _, starts, ends, offsets in plain_words(batch.column("text")):
+                def put(d: int, o: int, tiles: list) -> None:
+                    n, covered = len(block.items[o]), sum(t[0] for t in tiles)
+                    if covered and covered >= coverage * n:
+                        spans = sorted((int(starts[at[d] + i] - offsets[d]), int(ends[at[d] + i + m - 1] - offsets[d]))
+                                       for m, _, i in tiles)
+                        out.append({"doc_id": keys[row + d], "item_id": block.ids[o], "matched_words": covered,
+                                    "item_words": n, "coverage": covered / n, "tiles": len(tiles),
+                                    "longest": max(t[0] for t in tiles),
+                                    "spans": [{"start": a, "end": b} for a, b in spans]})
+
                 shingles, sat = shingle_hashes(words, at, k)
                 hits = block.places(shingles)
                 for d in np.unique(np.searchsorted(sat, hits, "right") - 1).tolist():
                     own = hits[(hits >= sat[d]) & (hits < sat[d + 1])] - sat[d]
-                    doc = words[at[d]:at[d + 1]]
-                    for o, tiles in block.pairs(doc, shingles[sat[d]:sat[d + 1]], own):
-                        n, covered = len(block.items[o]), sum(t[0] for t in tiles)
-                        if covered >= coverage * n:
-                            spans = sorted((int(starts[at[d] + i] - offsets[d]), int(ends[at[d] + i + m - 1] - offsets[d]))
-                                           for m, _, i in tiles)
-                            out.append({"doc_id": keys[row + d], "item_id": block.ids[o], "matched_words": covered,
-                                        "item_words": n, "coverage": covered / n, "tiles": len(tiles),
-                                        "longest": max(t[0] for t in tiles),
-                                        "spans": [{"start": a, "end": b} for a, b in spans]})
+                    for o, tiles in block.pairs(words[at[d]:at[d + 1]], shingles[sat[d]:sat[d + 1]], own):
+                        put(d, o, tiles)
+                for d, o, tiles in block.whole(words, at):
+                    put(d, o, tiles)
                 row += len(at) - 1
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
+                yield pa.RecordBatch.from_pylist(out, _FOUND)
 
     return rows_by_python(docs.select("doc_id", filled().alias("text")), work, PAIRS)
 
