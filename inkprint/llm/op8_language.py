@@ -5,9 +5,13 @@ its known 4-grams; if there are none to its 3-grams, 2-grams and single letters.
 of all words of a whole text add up.
 
 Learning counts words and n-grams with Spark over at most about ``fit_rows`` labelled
-documents, chosen by a hash of the id among all labelled ones; the tables that tasks
-get hold the ``max_words`` and ``max_grams`` most frequent entries. These three bound
-the model whatever the size of the corpus.
+documents of each language, chosen by a hash of the id; of ``max_words`` words and
+``max_grams`` n-grams in the model every language chooses an equal share, its own most
+frequent ones. A rare language is thus learnt as well as a common one, and these three
+numbers bound the model whatever the size of the corpus.
+
+A batch of texts is cut into pieces at space in Arrow; distinct pieces are scored once,
+through a bounded cache, and their scores are gathered by index and added up by text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no
 labelled document every text is; letters of an unknown script leave all languages equal; ties go to the language first in the alphabet; rows
@@ -21,13 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkprint.llm.common import rows_by_python, stage, table, tag
+from inkprint.llm.words import slices
 
-FIT_ROWS = 8_000
-MAX_WORDS = 100_000
+FIT_ROWS = 4_000
+MAX_WORDS = 200_000
 MAX_GRAMS = 100_000
 LONGEST = 4
 CACHED = 200_000
@@ -45,9 +51,10 @@ def fit(labelled: DataFrame, *, fit_rows: int = FIT_ROWS, max_words: int = MAX_W
         max_grams: int = MAX_GRAMS) -> dict:
     """Languages, and log-frequency rows by word and by n-gram, of (doc_id, text, lang)."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    total = rows.count()
-    share = min(1.0, fit_rows / max(total, 1))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("_rows"))  # a row per language
+    share = F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.col("_rows"))
+    chosen = rows.join(F.broadcast(counts), "lang").where(
+        F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     words = stage(chosen.select("lang", F.explode(F.regexp_extract_all(
         F.lower("text"), F.lit(LETTERS), F.lit(0))).alias("word")).groupBy("lang", "word").agg(
         F.count("*").alias("n")), "language-words")
@@ -68,12 +75,14 @@ def _cut(marked, size: int):
 
 
 def _table(counts: DataFrame, languages: list[str], most: int) -> tuple[str, np.ndarray]:
-    """Log frequencies by language of the most frequent words; unseen pairs count half.
+    """Log frequencies by language of each language's most frequent words; unseen pairs count half.
 
     Words come as one string, a line each, next to a matrix with a row per word.
     """
-    top = stage(counts.groupBy("word").agg(F.sum("n").alias("n"), F.map_from_entries(
-        F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy(F.desc("n"), "word").limit(most), "language-top")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    own = counts.withColumn("_place", place).where(F.col("_place") <= most // max(len(languages), 1)).select("word").distinct()
+    top = stage(counts.join(own, "word").groupBy("word").agg(F.map_from_entries(
+        F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy("word"), "language-top")
     by = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     got = top.select("word", F.array(*[F.coalesce(F.col("by")[F.lit(x)], F.lit(0)) for x in languages]).alias(
         "n")).toArrow() if languages else None
@@ -111,16 +120,26 @@ class Scorer:
         return None
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages:
-            return UNKNOWN, 0.0
-        places = self.places.of(text.split())
-        heard = int(self.heard[places].sum())
-        if not heard:
-            return UNKNOWN, 0.0
-        total = self.rows[places].sum(0, dtype=np.float64)
-        best = int(np.argmax(total))
-        odds = np.exp((total - total[best]) / heard * min(heard, EVIDENCE_WORDS))
-        return self.languages[best], float(1 / odds.sum())
+        names, scores = self.batch(pa.array([text], pa.string()))
+        return names[0], float(scores[0])
+
+    def batch(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        cut = pc.utf8_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        counts = cut.value_lengths().to_numpy().astype(np.int64)
+        if not self.languages or not counts.sum():
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        pieces = cut.flatten().dictionary_encode()
+        places = self.places.of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())[pieces.indices.to_numpy(zero_copy_only=False)]
+        some = np.flatnonzero(counts)
+        begin = (np.cumsum(counts) - counts)[some]
+        heard, total = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.languages)))
+        heard[some] = np.add.reduceat(self.heard[places], begin)
+        total[some] = np.add.reduceat(self.rows[places].astype(np.float64), begin, 0)
+        best, most = total.argmax(1), total.max(1, keepdims=True)
+        odds = np.exp((total - most) / np.maximum(heard, 1)[:, None] * np.minimum(heard, EVIDENCE_WORDS)[:, None])
+        return ([self.languages[b] if h else UNKNOWN for b, h in zip(best.tolist(), heard.tolist())],
+                np.where(heard > 0, 1 / odds.sum(1), 0.0))
 
 
 class _Places(dict):
@@ -166,10 +185,11 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             _scorers[name] = Scorer(held.value)
         scorer = _scorers[name]
         for batch in batches:
-            found = [scorer(text) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([x for x, _ in found], pa.string()),
-                 pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            for row, end, _, _ in slices(batch.column("text")):
+                names, scores = scorer.batch(batch.column("text").slice(row, end - row))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(row, end - row), pa.array(names, pa.string()), pa.array(scores)],
+                    ["doc_id", "lang_pred", "score"])
 
     return rows_by_python(docs.select("doc_id", "text"), work, "doc_id long, lang_pred string, score double")
 
