@@ -3,11 +3,12 @@
 A unit is a sentence: it ends with a line, or with ``.``, ``!`` or ``?`` before space.
 Units are normalised (words in lower case, space left out) and hashed. Digests are
 grouped over the whole corpus; the earliest document, by id, keeps its occurrence. In
-all others, and from the second occurrence in one text on, a unit is a repeat and is
-cut out, however short it is. A repeated line or paragraph goes with all its sentences,
-and a passage is found wherever it begins, also in the middle of a line or around an
-edited sentence, which stays. Neighbouring repeats make one span; ``min_words`` above 1
-keeps spans of fewer words. Cut spans keep their places in the original text.
+all others, and from the second occurrence in one text on, a unit is a repeat. A line
+whose units are all repeats is cut whatever its length, and so is a run of neighbouring
+repeats of at least ``min_words`` words; a shorter run in an otherwise new line, a
+``The.`` or ``And.``, is no repeat of anything and stays. A passage is found wherever it
+begins, also in the middle of a line or around an edited sentence, which stays.
+Neighbouring cut units make one span. Cut spans keep their places in the original text.
 
 Every task sends a document's distinct digests only, counts combine before the
 shuffle, and the join on digests can be split where one is hot. Texts move once.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from inkprint.llm.common import rows_by_python, stage, table
 from inkprint.llm.words import bounds, hashes, mix, slices
 
-MIN_WORDS = 1
+MIN_WORDS = 5
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 CLEANED = ("doc_id long, n_units long, n_removed long, removed_chars long, "
@@ -37,11 +38,11 @@ CLEANED = ("doc_id long, n_units long, n_removed long, removed_chars long, "
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each unit: digest, words, byte start and end; and the units' offsets by row."""
+    """Of each unit: digest, words, byte start and end, line; and the units' offsets by row."""
     starts, ends = bounds(data, offsets)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none, np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), none, none, none, none, np.zeros(len(offsets), np.int64)
     lines = np.cumsum(data == 10)
     fresh = np.ones(len(starts), bool)
     fresh[1:] = _ENDS[data[ends[:-1] - 1]] | (lines[starts[1:]] != lines[starts[:-1]])
@@ -52,14 +53,14 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     place = np.arange(len(starts)) - np.repeat(first, count)
     words = hashes(data, starts, ends, True)
     digest = mix(np.add.reduceat(mix(words + mix(place.astype(np.uint64) + np.uint64(1))), first))
-    return digest, count, starts[first], ends[first + count - 1], np.searchsorted(first, at)
+    return digest, count, starts[first], ends[first + count - 1], lines[starts[first]], np.searchsorted(first, at)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         row = 0
         for _, end, data, offsets in slices(batch.column("text")):
-            digest, _, _, _, at = units(data, offsets)
+            digest, *_, at = units(data, offsets)
             own = [np.unique(digest[at[i]:at[i + 1]]) for i in range(len(at) - 1)]
             ids = batch.column("doc_id").slice(row, end - row)
             keys = ids.take(pa.array(np.repeat(np.arange(len(own)), [len(o) for o in own])))
@@ -67,10 +68,20 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(own).view(np.int64))], ["doc_id", "digest"])
 
 
-def _runs(repeat: np.ndarray, words: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """First and end unit of runs of repeats with enough words."""
+def _runs(repeat: np.ndarray) -> list[tuple[int, int]]:
+    """First and end unit of runs of repeats."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], repeat.astype(np.int8), [0]])))
-    return [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if words[a:b].sum() >= least]
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
+def cut(repeat: np.ndarray, words: np.ndarray, line: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Runs to be cut: repeats in lines of nothing else, and runs with enough words."""
+    _, first, of = np.unique(line, return_index=True, return_inverse=True)
+    gone = np.minimum.reduceat(repeat, first)[of]
+    for a, b in _runs(repeat):
+        if words[a:b].sum() >= least:
+            gone[a:b] = True
+    return _runs(gone)
 
 
 def _cutter(min_words: int):
@@ -83,7 +94,7 @@ def _cutter(min_words: int):
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             known, row, out = batch.column("seen"), 0, []
             for _, end, data, offsets in slices(batch.column("text")):
-                digest, count, first, last, at = units(data, offsets)
+                digest, count, first, last, line, at = units(data, offsets)
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 for i in range(end - row):
                     lo, hi = at[i], at[i + 1]
@@ -92,7 +103,7 @@ def _cutter(min_words: int):
                     repeat[np.unique(own, return_index=True)[1]] = False
                     if seen.is_valid:
                         repeat |= np.isin(own, np.asarray(seen.values).view(np.uint64))
-                    cuts = _runs(repeat, count[lo:hi], min_words) if repeat.any() else []
+                    cuts = cut(repeat, count[lo:hi], line[lo:hi], min_words) if repeat.any() else []
                     base = chars[offsets[i]]
                     spans = [(int(chars[first[lo + a]] - base), int(chars[last[lo + b - 1]] - base)) for a, b in cuts]
                     text = texts[row + i]
