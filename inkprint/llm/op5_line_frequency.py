@@ -3,8 +3,10 @@
 Lines are normalised (lower case, runs of space as one blank, digits as 0) and
 hashed. Per host, a line's distinct documents are counted; exact copies of a text
 count as one document, so a copied page doesn't turn its own lines into boilerplate.
-Lines of more documents than ``min_docs`` and than ``max_share`` of the host's
-documents are removed; a document left with too few words is rejected.
+Lines of more documents than ``min_docs`` and than ``max_share`` of the host's documents,
+or than ``max_docs`` where the host is large, are removed: the number of documents that
+make a line boilerplate doesn't grow with the host. A document left with too few words
+is rejected.
 
 Text is read once. What goes on from there is narrow: digests and counts. Counting
 combines before each shuffle, and the join of lines with frequent lines can be split
@@ -31,6 +33,7 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 MIN_DOCS = 20
 MAX_SHARE = 0.10
+MAX_DOCS = 200
 MIN_WORDS = 20
 MIN_LEFT = 0.3
 
@@ -96,24 +99,24 @@ def measured(docs: DataFrame, host: str = "source", text: str = "text", keep: tu
             F.regexp_count(x["line"], F.lit(WORD)).alias("words"))).alias("_lines"))
 
 
-def frequent_lines(rows: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+def frequent_lines(rows: DataFrame, min_docs: int, max_share: float, max_docs: int) -> DataFrame:
     """(_host, digest, docs) of lines in too many distinct documents of their host."""
     hosts = rows.select("_host", "_same").distinct().groupBy("_host").agg(F.count("*").alias("_all"))
     seen = rows.select("_host", "_same", F.explode("_lines.digest").alias("digest")).distinct()
     return seen.groupBy("_host", "digest").agg(F.count("*").alias("docs")).where(
         F.col("docs") > min_docs).join(hosts, "_host").where(
-        F.col("docs") > F.col("_all") * max_share).select("_host", "digest", "docs")
+        F.col("docs") > F.least(F.col("_all") * max_share, F.lit(float(max_docs)))).select("_host", "digest", "docs")
 
 
 def line_frequency(docs: DataFrame, *, host: str = "source", text: str = "text",
-                   keep: tuple[str, ...] = ("doc_id",), min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE,
+                   keep: tuple[str, ...] = ("doc_id",), min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS,
                    min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
     """Base counts, places of removed lines, and the verdict, a row per document.
 
     ``removed`` lists the 0-based places of removed lines among the \\n-split lines.
     """
     rows = stage(measured(docs, host, text, keep), "line-counts")
-    hot = frequent_lines(rows, min_docs, max_share)
+    hot = frequent_lines(rows, min_docs, max_share, max_docs)
     lines = rows.select("_row", "_host", F.explode("_lines").alias("line")).select(
         "_row", "_host", F.col("line.at").alias("at"), F.col("line.digest").alias("digest"),
         F.col("line.words").alias("words"))
@@ -167,7 +170,7 @@ SQL = {"op5_line_frequency": r"""
         FROM (SELECT doc_id, host, text, unnest(lines) AS l FROM w)),
     hot AS (SELECT f.host, norm FROM (SELECT host, norm, count(DISTINCT text) AS n FROM l GROUP BY 1, 2) f
         JOIN (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY 1) h ON f.host = h.host
-        WHERE f.n > 20 AND f.n > 0.1 * h.n),
+        WHERE f.n > 20 AND f.n > least(0.1 * h.n, 200)),
     gone AS (SELECT doc_id, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n,
         string_agg(place::VARCHAR, ',' ORDER BY place) AS removed
         FROM l JOIN hot USING (host, norm) GROUP BY 1),
