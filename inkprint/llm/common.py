@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,11 +30,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """A written table in the shared folder: short lineage, survives lost executors."""
     path = folder(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-written: list[str] = []  # the tables of this driver, in the order of their making
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+@contextmanager
+def owning() -> Iterator[list[str]]:
+    """The scratch folders that this thread names inside the block, for whoever deletes them."""
+    paths: list[str] = []
+    token = _owned.set(paths)
+    try:
+        yield paths
+    finally:
+        _owned.reset(token)
+
+
+def owned() -> bool:
+    """Whether a caller collects this thread's scratch folders."""
+    return _owned.get() is not None
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
@@ -43,7 +60,10 @@ def release(spark: SparkSession, paths: list[str]) -> None:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    return scratch_path(spark, f"llm-{name}")
+    path = scratch_path(spark, f"llm-{name}")
+    if owned():
+        _owned.get().append(path)
+    return path
 
 
 def filled(text: Column | str = "text") -> Column:

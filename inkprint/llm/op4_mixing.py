@@ -103,6 +103,27 @@ def calibrated(rows: DataFrame, targets: Mapping[str, Mapping[str, float]] = TAR
     return names, [(*[r[f"_{c}"] for c in names], float(min(p, 1.0))) for r, p in zip(cells, chance)]
 
 
+def residuals(rows: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET) -> DataFrame:
+    """(margin, category, target, reached): shares of the kept tokens that were asked for and that the mix expects.
+
+    They differ where a category has too few tokens for its share, or where two margins
+    contradict each other; categories without a row are listed with 0.
+    """
+    names, cells = calibrated(rows, targets, budget)
+    fields = ", ".join(f"_{c} string" for c in names)
+    chances = rows.sparkSession.createDataFrame(cells, f"{fields}, probability double")
+    mass = _named(rows, targets).groupBy(*[f"_{c}" for c in names]).agg(F.sum("n_tokens").alias("n")).join(
+        F.broadcast(chances), [f"_{c}" for c in names]).withColumn("mass", F.col("n") * F.col("probability"))
+    whole = mass.agg(F.sum("mass")).first()[0] or 0.0
+    wanted = [(c, k, float(v) / sum(targets[c].values())) for c in names for k, v in sorted(targets[c].items())]
+    reached = mass.select(F.explode(F.array(*[F.struct(F.lit(c).alias("margin"), F.col(f"_{c}").alias("category"), "mass")
+                                              for c in names])).alias("x")).select("x.*").groupBy("margin", "category").agg(
+        F.sum("mass").alias("mass"))
+    share = F.coalesce(F.col("mass") / F.lit(whole), F.lit(0.0)) if whole else F.lit(0.0)
+    return rows.sparkSession.createDataFrame(wanted, "margin string, category string, target double").join(
+        reached, ["margin", "category"], "left").select("margin", "category", "target", share.alias("reached"))
+
+
 def _named(rows: DataFrame, targets: Mapping[str, Mapping[str, float]]) -> DataFrame:
     for c, shares in targets.items():
         rows = rows.withColumn(f"_{c}", F.when(F.col(c).isin([k for k in shares if k != REST]), F.col(c)).otherwise(REST))
