@@ -16,6 +16,7 @@ from inkprint.llm.common import rows_by_python, stage
 
 
 MAX_TASKS = 20_000
+FILES_PER_TASK = 4
 
 
 def place(path: str) -> tuple[fs.FileSystem, str]:
@@ -29,7 +30,7 @@ def make_folder(path: str) -> None:
 
 def spread(files: DataFrame) -> DataFrame:
     """A manifest with a task for every few files, however small its rows are."""
-    return files.repartition(max(1, min(files.count(), MAX_TASKS)), "file")
+    return files.repartition(max(1, min(-(-files.count() // FILES_PER_TASK), MAX_TASKS)), "file")
 
 
 def commit(manifest: DataFrame, home: str, name: str) -> DataFrame:
