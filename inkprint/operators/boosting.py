@@ -157,11 +157,13 @@ def drawn_columns(number: int, features: int, cfg: StyloConfig) -> np.ndarray:
     return np.sort(np.random.default_rng([cfg.seed, number]).permutation(features)[:size])
 
 
-def histogram(bins: np.ndarray, g: np.ndarray, h: np.ndarray, slot: np.ndarray, slots: int, width: int) -> np.ndarray:
-    """Sums of one feature's (gradient, Hessian, rows) by (slot, bin)."""
-    at = slot * width + bins
-    sums = [np.bincount(at, w, slots * width) for w in (g, h)]
-    return np.stack([*sums, np.bincount(at, minlength=slots * width)]).reshape(3, slots, width)
+def histograms(bins: np.ndarray, g: np.ndarray, h: np.ndarray, slot: np.ndarray, slots: int, width: int) -> np.ndarray:
+    """Sums of (gradient, Hessian, rows) by (feature, slot, bin), for all columns of ``bins`` at once."""
+    features = bins.shape[1]
+    at = ((np.arange(features) * slots + slot[:, None]) * width + bins).reshape(-1)
+    size = features * slots * width
+    sums = [np.bincount(at, np.repeat(w, features), size) for w in (g, h)]
+    return np.stack([*sums, np.bincount(at, minlength=size)]).reshape(3, features, slots, width)
 
 
 def _shrunk(g, cfg):
@@ -173,7 +175,7 @@ def _score(g, h, cfg):
 
 
 def best_splits(sums: np.ndarray, cfg: StyloConfig) -> np.ndarray:
-    """(gain, bin, left G, left H, left rows, G, H, rows) of each slot's best split by one feature; no gain is -inf."""
+    """(gain, bin, left G, left H, left rows, G, H, rows) of the best split of each (feature, slot); no gain is -inf."""
     left, whole = np.cumsum(sums, 2), sums.sum(2)
     g, h = left[0] / _ONE, left[1] / _ONE
     all_g, all_h = whole[0][:, None] / _ONE, whole[1][:, None] / _ONE
@@ -220,8 +222,8 @@ def grow(tree: Tree, roots: list[int], bins: np.ndarray, g: np.ndarray, h: np.nd
         slot_of[now] = np.arange(len(now))
         slot = slot_of[node]
         here = slot >= 0
-        found = np.stack([best_splits(histogram(bins[here, c], g[here], h[here], slot[here], len(now), width), cfg)
-                          for c in columns.tolist()])
+        sums = histograms(bins[here][:, columns], g[here], h[here], slot[here], len(now), width)
+        found = best_splits(sums.reshape(3, -1, width), cfg).reshape(len(columns), len(now), 8)
         level = [n for n in level if depth_of(n) > depth] + [c for c, _ in put(tree, now, found, columns, cfg, depth)]
         node = tree.leaves(bins, node)
 
@@ -380,10 +382,10 @@ class Fit:
             for bins, g, h, node in fit._prepared(batches, tree, number):
                 slot = slot_of[node]
                 here = slot >= 0
-                own = np.stack([histogram(bins[here, c], g[here], h[here], slot[here], slots, width) for c in columns.tolist()])
+                own = histograms(bins[here][:, columns], g[here], h[here], slot[here], slots, width)
                 total = own if total is None else total + own
             if total is not None:
-                yield pa.RecordBatch.from_pylist([{"column": i, "sums": a.tobytes()} for i, a in enumerate(total)],
+                yield pa.RecordBatch.from_pylist([{"column": i, "sums": total[:, i].tobytes()} for i in range(len(columns))],
                                                  pa.schema([("column", pa.int32()), ("sums", pa.binary())]))
 
         def whole(batches):

@@ -116,22 +116,21 @@ _add("k04_importance_table", _importance_file)
 _add("k05_feature_lists", _feature_lists)
 
 # --- scaling --------------------------------------------------------------------------
-_SCALED = ("word_count", "avg_word_len_chars", "comma_per_word", "sent_count")
 _TRAIN = h01("train", "doc_id") + " < 0.7"
 
 
 def _scaling(s, sf):
-    d = with_stylometry(documents(s, sf, STYLED).select("doc_id", "text"), names=_SCALED).drop("text")
-    stats = models.fit_scaler(d.where(h01_col("train", "doc_id") < 0.7), _SCALED)
-    return _rounded(models.scale(d, stats), *_SCALED)
+    d = with_stylometry(documents(s, sf, STYLED).select("doc_id", "text"), names=FEATURE_NAMES).drop("text")
+    stats = models.fit_scaler(d.where(h01_col("train", "doc_id") < 0.7), FEATURE_NAMES)
+    return _rounded(models.scale(d, stats), *FEATURE_NAMES)
 
 
-_RAW = features_sql(_SCALED, finish=lambda e: f"({e})::DOUBLE")
+_RAW = features_sql(FEATURE_NAMES, finish=lambda e: f"({e})::DOUBLE")
 _add("m02_feature_scaling", _scaling,
-     f"WITH f AS ({_RAW}), m AS (SELECT " + ", ".join(
-         f"avg({n}) AS m_{n}, stddev_pop({n}) AS s_{n}" for n in _SCALED)
+     f"WITH f AS MATERIALIZED ({_RAW}), m AS (SELECT " + ", ".join(
+         f"avg({n}) AS m_{n}, coalesce(nullif(stddev_pop({n}), 0), 1) AS s_{n}" for n in FEATURE_NAMES)
      + f" FROM f WHERE {_TRAIN}) SELECT doc_id, "
-     + ", ".join(f"{r6(f'({n} - m_{n}) / s_{n}')} AS {n}" for n in _SCALED) + " FROM f, m")
+     + ", ".join(f"{r6(f'({n} - m_{n}) / s_{n}')} AS {n}" for n in FEATURE_NAMES) + " FROM f, m")
 
 # --- cross-perplexity ratio -------------------------------------------------------------
 
@@ -183,19 +182,38 @@ _add("m09_formality", _mass,
 
 
 def _isotonic(s, sf):
-    d = scored(s, sf)
-    model = fusion.fit_isotonic(d, "stylometric")
-    return _rounded(fusion.calibrated(d, model, "stylometric", "cal").select("doc_id", "cal"), "cal")
+    """Both calibrators, fitted on val rows and applied to all."""
+    d = scored(s, sf).withColumn("semantic", fusion.unsaturated(F.col("semantic")))
+    val = d.where((h01_col("train", "doc_id") >= 0.7) & (h01_col("train", "doc_id") < 0.85))
+    for score in ("semantic", "stylometric"):
+        d = fusion.calibrated(d, fusion.fit_isotonic(val, score), score, f"{score}_cal")
+    return _rounded(d.select("doc_id", "semantic_cal", "stylometric_cal"), "semantic_cal", "stylometric_cal")
+
+
+def _pools_sql(score, n):
+    """CTEs of one calibrator: v{n} is the fitted value of each val score."""
+    return (f"g{n} AS (SELECT {score} AS x, sum(label)::DOUBLE AS y, count(*)::DOUBLE AS n, row_number() OVER (ORDER BY {score}) AS i "
+            f"FROM val GROUP BY {score}), "
+            f"s{n} AS (SELECT *, sum(y) OVER (ORDER BY i) AS cy, sum(n) OVER (ORDER BY i) AS cn FROM g{n}), "
+            f"m{n} AS (SELECT a.i AS a, b.i AS b, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS mean FROM s{n} a JOIN s{n} b ON a.i <= b.i), "
+            f"lo{n} AS (SELECT s{n}.i, a, min(mean) AS v FROM s{n} JOIN m{n} ON a <= s{n}.i AND b >= s{n}.i GROUP BY 1, 2), "
+            f"v{n} AS (SELECT any_value(x) AS x, max(v) AS v FROM lo{n} JOIN s{n} USING (i) GROUP BY i)")
+
+
+# Straight lines between val scores, end values outside.
+def _line_sql(score, n):
+    x = f"d.{score}"
+    return (f"CASE WHEN b{n}.x IS NULL THEN a{n}.v WHEN a{n}.x IS NULL OR a{n}.x = b{n}.x THEN b{n}.v "
+            f"ELSE b{n}.v + (a{n}.v - b{n}.v) * ({x} - b{n}.x) / (a{n}.x - b{n}.x) END")
 
 
 _add("m10_isotonic", _isotonic,
-     f"WITH d AS ({scored_sql()}), g AS (SELECT stylometric AS x, sum(label)::DOUBLE AS y, count(*)::DOUBLE AS n, "
-     "row_number() OVER (ORDER BY stylometric) AS i FROM d GROUP BY stylometric), "
-     "s AS (SELECT *, sum(y) OVER (ORDER BY i) AS cy, sum(n) OVER (ORDER BY i) AS cn FROM g), "
-     "m AS (SELECT a.i AS a, b.i AS b, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS mean FROM s a JOIN s b ON a.i <= b.i), "
-     "lo AS (SELECT s.i, m.a, min(m.mean) AS v FROM s JOIN m ON m.a <= s.i AND m.b >= s.i GROUP BY 1, 2), "
-     "iso AS (SELECT i, max(v) AS v FROM lo GROUP BY i) "
-     f"SELECT d.doc_id AS doc_id, {r6('iso.v')} AS cal FROM d JOIN s ON s.x = d.stylometric JOIN iso ON iso.i = s.i")
+     f"WITH d AS (SELECT * REPLACE (least(semantic, 0.99::DOUBLE) AS semantic) FROM ({scored_sql()})), "
+     f"val AS (SELECT * FROM d WHERE {h01('train', 'doc_id')} >= 0.7 AND {h01('train', 'doc_id')} < 0.85), "
+     + _pools_sql("semantic", 1) + ", " + _pools_sql("stylometric", 2)
+     + f" SELECT d.doc_id AS doc_id, {r6(_line_sql('semantic', 1))} AS semantic_cal, {r6(_line_sql('stylometric', 2))} AS stylometric_cal FROM d "
+     + " ".join(f"ASOF LEFT JOIN v{n} b{n} ON d.{c} >= b{n}.x ASOF LEFT JOIN v{n} a{n} ON d.{c} <= a{n}.x"
+                for n, c in ((1, "semantic"), (2, "stylometric"))))
 _add("m11_saturation_clip",
      lambda s, sf: scored(s, sf).select(
          "doc_id", round6(fusion.unsaturated(F.col("semantic"))).alias("semantic")),

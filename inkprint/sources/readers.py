@@ -235,20 +235,28 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 # Fixed pattern: elements whose text is not content.
 SKIPPED_TAGS = "script|style|nav|footer|header"
+# Attributes of a tag: a quoted value may hold ``>``; quotes elsewhere are plain characters.
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
+# Pieces of a page from left to right: comment, raw element, start tag, other markup, a tag that never ends, text.
+_PIECE = (rf"<!--(?s:.*?)-->|(?is:<(script|style)(?:[\s/]{_ATTRIBUTES})?>.*?(?:</\1\s*>|\z))|<[a-zA-Z]{_ATTRIBUTES}>|<[/!?][^>]*+>"
+          r"|<[a-zA-Z/!?][^>]*+\z|[^<]++|<")
 
 
 def page_text(html: Column) -> Column:
     """Visible text of a stored page, whitespace collapsed.
 
-    A skipped element ends at the next closing tag of any skipped kind. Script
-    and style bodies are raw text, so their own closing tag is found first.
+    One scan cuts the page into pieces; a tag, with its quoted values, or a comment is one piece,
+    and so is a script or style with its raw text. Tags that open a skipped element become
+    one mark, tags that close any skipped element another, and the text after an opening mark
+    goes up to the next closing one. Entities are read last.
     """
-    c = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for raw in ("script", "style"):
-        c = F.regexp_replace(c, rf"(?is)<{raw}\b[^>]*>.*?</{raw}\s*>", f"<{raw}></{raw}>")
-    c = F.regexp_replace(
-        c, rf"(?is)<(?:{SKIPPED_TAGS})\b[^>]*>.*?(?:</(?:{SKIPPED_TAGS})\s*>|\z)", " ")
-    c = F.regexp_replace(c, r"<[a-zA-Z/!?][^>]*>", " ")
+    opens = rf"(?i)^<(?:{SKIPPED_TAGS})[\s/>]"
+    closes = rf"(?i)^</(?:{SKIPPED_TAGS})\s*>"
+    plain = F.translate(html, "\x01\x02", "")
+    pieces = F.transform(F.regexp_extract_all(plain, F.lit(_PIECE), F.lit(0)), lambda t: F.when(
+        ~t.startswith("<"), t).when(t.rlike(r"(?i)^<(?:script|style)[\s/>]"), "\x01\x02").when(t.rlike(opens), "\x01")
+        .when(t.rlike(closes), "\x02").when(t == "<", t).otherwise(" "))
+    c = F.regexp_replace(F.array_join(pieces, ""), r"\x01[^\x02]*+(?:\x02|\z)|\x02", " ")
     c = F.when(F.contains(c, F.lit("&")), F.java_method(
         F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), c)).otherwise(c)
     return text.collapse_whitespace(c)

@@ -1,3 +1,5 @@
+import random
+from html.parser import HTMLParser
 import gzip
 import json
 
@@ -142,3 +144,43 @@ def test_first_rows_of_each_file(spark, tmp_path, monkeypatch):
         assert got == {f: list(range(0, size, 2))[:limit] for f, size in enumerate((100, 20, 5))}
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" not in plan
+
+
+class _Visible(HTMLParser):
+    """What Python's parser calls data outside skipped elements."""
+
+    def __init__(self):
+        super().__init__()
+        self.parts, self.skip = [], False
+
+    def handle_starttag(self, tag, attrs):
+        self.skip = self.skip or tag in readers.SKIPPED_TAGS.split("|")
+
+    def handle_endtag(self, tag):
+        self.skip = self.skip and tag not in readers.SKIPPED_TAGS.split("|")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.parts.append(data)
+
+
+def test_pages_equal_the_parser(spark):
+    """1,000 pages of tags with quoted ``>``, comments, raw text, nested and unclosed elements, entities, stray signs."""
+    rng = random.Random(12)
+    bits = ["word", " two words ", "\n", "1 < 2", "a > b", "&lt;x&gt;", "&amp;", "&eacute;", '<p title="1 > 0">', "</p>", "<a href='x>y' b>", "</a>",
+            "<b>", "</b>", "<br/>", "<!-- c > <nav> -->", "<script>if (a < b) { '</nav>' }</script>", '<style type="a>b">p > q {}</style>', "<nav>",
+            "</nav>", "<NAV class=\"m>n\">", "</Nav >", "<footer>", "</footer>", "<header id=h>", "</header>", "<nav-bar>", "</nav-bar>",
+            "<!DOCTYPE html>", "<p don't>", "<i a = \"x > y\" b=c>", "é日本", "<td colspan=2>", "< notag", "'quoted \"text\"'"]
+    pages = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(1_000)]
+    d = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    got = {r["i"]: r["t"] for r in d.select("i", readers.page_text(F.col("html")).alias("t")).collect()}
+    for i, page in enumerate(pages):
+        parser = _Visible()
+        parser.feed(page)
+        parser.close()
+        want = " ".join(" ".join(parser.parts).split())
+        assert got[i].replace(" ", "") == want.replace(" ", ""), page
+    odd = ['<p title="1 > 0">x</p>', "<script>no end <b>x", "plain", "", "\x01x\x02", "<nav>gone</footer>kept", "a<b", "x" * 50_000 + "<i a=" + "y" * 50_000 + ">"]
+    d = spark.createDataFrame(list(enumerate(odd)), "i int, html string")
+    got = [r["t"] for r in d.orderBy("i").select(readers.page_text(F.col("html")).alias("t")).collect()]
+    assert got == ["x", "", "plain", "", "x", "kept", "a", "x" * 50_000]
