@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from inkprint.functions import text
 from inkprint.operators.corpus import fill_quota, union_sources
+from inkprint.sources import probe
 from inkprint.session import materialise
 
 log = logging.getLogger(__name__)
@@ -51,8 +52,11 @@ def qa_pairs(spark: SparkSession, path, source: str = "qa_pairs",
 
     Both lists leave the record in one pass over it.
     """
+    files = probe.sound_paths(spark, path, source, "*.{json,jsonl,json.gz,jsonl.gz}")
+    if not files:
+        return empty_corpus(spark)
     raw = (spark.read.schema("human_answers array<string>, chatgpt_answers array<string>")
-           .option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.{json,jsonl}").json(path))
+           .option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", True).json(files))
 
     def side(col, label, model):
         answers = F.coalesce(F.col(col), F.array().cast("array<string>"))
@@ -79,38 +83,44 @@ def multi_generator(spark: SparkSession, paths: list[str],
                     source: str = "multi_generator") -> DataFrame:
     """Parquet then CSV files whose text and model columns are found by name.
 
-    A path that cannot be read, or has no text column, is logged and skipped.
+    Footers and headers are read in tasks. Files in which the same columns matter are one
+    group and one scan, however many they are. A file that cannot be read, or has no text
+    column, is logged and skipped; ``probe.probe`` gives the whole table of files.
     """
-    frames = []
-    for path in sorted(paths, key=lambda p: (p.rstrip("/").endswith("csv"), p)):
-        try:
-            if path.rstrip("/").endswith("csv"):
-                raw = (spark.read.option("header", True).option("multiLine", True)
-                       .option("quote", '"').option("escape", '"').csv(path))
-            else:
-                raw = spark.read.parquet(path)
-        except AnalysisException as e:
-            log.warning("%s skipped: %s", path, str(e).split("\n")[0])
-            continue
-        body, model = detect_columns(raw.columns)
-        if body is None:
-            log.warning("%s skipped: no text column in %s", path, raw.columns)
+    files = probe.sound(probe.probe(spark, paths), source).where(F.col("kind").isin("parquet", "csv"))
+    # A CSV scan needs all names of the header; a Parquet scan reads the two columns.
+    groups = files.groupBy("kind", "columns", "types").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    scans: dict[tuple, list[str]] = {}
+    for g in sorted(groups, key=lambda g: (g["kind"] == "csv", g["columns"], g["types"])):
+        body, model = detect_columns(g["columns"])
+        kinds = dict(zip(g["columns"], g["types"]))
+        if body is None or "other" in (kinds[body], kinds.get(model)):
+            log.warning("%d files skipped, %s the first: no column of text in %s", len(g["paths"]), g["paths"][0], g["columns"])
             continue
-        name = F.trim(F.coalesce(F.col(f"`{model}`").cast("string"), F.lit("None"))) \
-            if model else F.lit("unknown")
-        frames.append(_corpus_rows(raw, F.col(f"`{body}`"), label_of_model(name), source, name))
+        header = tuple(g["columns"]) if g["kind"] == "csv" else ()
+        wanted = tuple((c, kinds[c]) for c in (body, model) if c)
+        scans.setdefault((g["kind"], body, model, wanted, header), []).extend(g["paths"])
+    frames = []
+    for (kind, body, model, wanted, _), named in scans.items():
+        reader = spark.read.option("ignoreCorruptFiles", True)
+        if kind == "csv":
+            raw = reader.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(named)
+        else:
+            raw = reader.schema(", ".join(f"`{c}` {t}" for c, t in wanted)).parquet(*named)
+        name = F.trim(F.coalesce(F.col(f"`{model}`").cast("string"), F.lit("None"))) if model else F.lit("unknown")
+        frames.append(_corpus_rows(raw, F.col(f"`{body}`").cast("string"), label_of_model(name), source, name))
     if not frames:
         return empty_corpus(spark)
     ranked = union_sources(frames)
-    # Ids of different paths must not meet: 2^23 partitions of each have room.
-    if len(frames) > MAX_PATHS:
-        raise ValueError(f"more than {MAX_PATHS} paths; read them as several sources")
+    # Ids of different scans must not meet: 2^23 partitions of each have room.
+    if len(frames) > MAX_SCANS:
+        raise ValueError(f"more than {MAX_SCANS} kinds of files; read them as several sources")
     span = F.col("source_rank") * F.lit(1 << 56)
     return ranked.withColumn("doc_id", F.col("doc_id") + span).drop("source_rank")
 
 
 RUN_ROWS = 4_096
-MAX_PATHS = 127
+MAX_SCANS = 127
 
 
 def first_rows_per_file(spark: SparkSession, path: str, keep: Column, limit: int) -> DataFrame:
@@ -175,7 +185,10 @@ def last_reply(chosen: Column, marker: str = "Assistant:") -> Column:
 def transcripts(spark: SparkSession, path, source: str = "transcripts",
                 model: str = "claude") -> DataFrame:
     """Last assistant reply of each transcript; plain or gzipped JSON lines."""
-    raw = (spark.read.schema("chosen string").option("mode", "DROPMALFORMED").json(path)
+    files = probe.sound_paths(spark, path, source)
+    if not files:
+        return empty_corpus(spark)
+    raw = (spark.read.schema("chosen string").option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", True).json(files)
            .withColumn("reply", last_reply(F.col("chosen"))).where(F.col("reply").isNotNull()))
     return _corpus_rows(raw, F.col("reply"), F.lit(1), source, F.lit(model))
 

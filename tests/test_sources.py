@@ -1,13 +1,13 @@
-import random
-from html.parser import HTMLParser
 import gzip
 import json
+import random
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
 from inkprint.functions.lexicons import FEATURE_NAMES
 from inkprint.operators.corpus import with_fingerprint
-from inkprint.sources import readers, sinks
+from inkprint.sources import probe, readers, sinks
 
 
 def texts(df):
@@ -184,3 +184,43 @@ def test_pages_equal_the_parser(spark):
     d = spark.createDataFrame(list(enumerate(odd)), "i int, html string")
     got = [r["t"] for r in d.orderBy("i").select(readers.page_text(F.col("html")).alias("t")).collect()]
     assert got == ["x", "", "plain", "", "x", "kept", "a", "x" * 50_000]
+
+
+def test_broken_files_cost_themselves_only(spark, tmp_path, caplog):
+    """A truncated Parquet file and a truncated gzip stream beside sound ones."""
+    home = tmp_path / "mixed"
+    for i in range(3):
+        spark.createDataFrame([(f"text {i}", "gpt4")], "text string, model string").coalesce(1).write.parquet(str(home / f"p{i}"))
+    part = next((home / "p1").glob("part-*.parquet"))
+    part.write_bytes(part.read_bytes()[:-20])
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for i in range(3):
+        lines = "\n".join(json.dumps({"chosen": f"Human: q Assistant: reply {i} {j} " + "x" * 500}) for j in range(200))
+        data = gzip.compress(lines.encode())
+        (logs / f"{i}.jsonl.gz").write_bytes(data[:len(data) // 2] if i == 1 else data)
+    (logs / "two.jsonl.gz").write_bytes(gzip.compress(b'{"chosen": "Assistant: a"}\n') + gzip.compress(b'{"chosen": "Assistant: b"}\n'))
+    got = readers.multi_generator(spark, [str(home)])
+    assert sorted(r["text"] for r in got.collect()) == ["text 0", "text 2"]
+    said = readers.transcripts(spark, str(logs))
+    assert said.count() == 402 and said.where("text LIKE 'reply 1 %'").isEmpty()
+    files = probe.probe(spark, [str(home), str(logs), str(tmp_path / "none")])
+    broken = [(r["path"][-8:], r["kind"]) for r in files.where("status = 'broken'").collect()]
+    assert sorted(k for _, k in broken) == ["gz", "parquet"] and files.where("status = 'ok' AND kind = 'gz'").count() == 3
+    assert {r["path"].rpartition("/")[2] for r in files.where("status = 'broken' AND kind = 'gz'").collect()} == {"1.jsonl.gz"}
+
+
+def test_a_thousand_files_of_three_schemas(spark, tmp_path, monkeypatch):
+    """One scan for each set of columns that matters, and no two rows with one id."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for i in range(1_000):
+        columns = [{"generation": [f"g{i}"], "model": ["human"]}, {"id": [i], "text": [f"t{i}"]}, {"Content": [f"c{i}"], "MODEL": ["gpt4"], "n": [1.5]}][i % 3]
+        pq.write_table(pa.table(columns), tmp_path / f"{i:04d}.parquet")
+    got = readers.multi_generator(spark, [str(tmp_path)])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 3
+    rows = got.collect()
+    assert sorted(r["text"] for r in rows) == sorted(f"{'gtc'[i % 3]}{i}" for i in range(1_000))
+    assert len({r["doc_id"] for r in rows}) == 1_000
+    assert {(r["text"][0], r["label"], r["model"]) for r in rows} == {("g", 0, "human"), ("t", 1, "unknown"), ("c", 1, "gpt4")}
