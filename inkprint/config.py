@@ -69,6 +69,7 @@ class RatioConfig:
     trigram_weight: float = 0.7
     floor: float = 1e-6
     neutral: float = 1.0
+    max_loss: float = 0.0  # nats a fitting token that pruning the trigrams may cost; 0 keeps all
 
 
 @dataclass(frozen=True)

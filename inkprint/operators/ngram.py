@@ -7,6 +7,15 @@ model. With c() the counts, N tokens and V distinct tokens in the fitting text:
   P2(w|v)    = l2 * c(v,w) / c(v,.)   + (1 - l2) * P1(w)     if c(v,.) > 0, else P1(w)
   P3(w|u,v)  = l3 * c(u,v,w) / c(u,v,.) + (1 - l3) * P2(w|v) if c(u,v,.) > 0, else P2(w|v)
 
+The trigram table may be pruned (``RatioConfig.max_loss``). A pruned w gets b(u,v) P2(w|v) like
+a w that never followed u, v; with K the words kept after u, v
+
+  b(u,v) = (1 - sum over K of P3) / (1 - sum over K of P2)     (1 - l3 if none is pruned)
+
+so that probabilities still add up to 1. Pruning can only raise b above 1 - l3, so an entry
+costs the fitting text at most c(u,v,w) (ln P3 - ln (1 - l3) P2), and these bounds add up:
+entries go by ascending bound as long as their sum stays within ``max_loss`` per token.
+
 A document's ratio is its mean -ln P2 over its mean -ln P3, on all tokens but
 the first. Scoring joins distinct n-grams, not tokens, with the count tables, so
 a text copied a million times is looked up once; adaptive skew handling splits
@@ -15,9 +24,10 @@ what stays hot.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkprint.config import RatioConfig
@@ -70,9 +80,76 @@ def fit(df: DataFrame, cfg: RatioConfig = RatioConfig(), path: str | None = None
     bi = stored(tri.groupBy("v", "w").agg(total("c")), "bigrams")
     uni = stored(bi.groupBy("w").agg(total("c")), "unigrams")
     stored(bi.where(F.col("v") != START).groupBy("v").agg(F.sum("c").alias("n")), "after_one")
-    stored(tri.where(F.col("u") != START).groupBy("u", "v").agg(F.sum("c").alias("n")), "after_two")
+    stored(tri.where(F.col("u") != START).groupBy("u", "v").agg(F.sum("c").alias("n")).withColumn(
+        "b", F.lit(1 - cfg.trigram_weight)), "after_two")
     size = uni.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    return NgramModel(path, size["n"], size["v"], cfg)
+    model = NgramModel(path, size["n"], size["v"], cfg)
+    return pruned(spark, model, cfg.max_loss) if cfg.max_loss > 0 else model
+
+
+def _mix(weight: float, below: str) -> Column:
+    """Relative frequency mixed with the probability of the shorter context."""
+    return F.when(F.col("n").isNotNull(), F.lit(weight) * F.coalesce("c", F.lit(0)) / F.col("n")
+                  + F.lit(1 - weight) * F.col(below)).otherwise(F.col(below))
+
+
+def _pairs(spark: SparkSession, model: NgramModel, wanted: DataFrame) -> DataFrame:
+    """(v, w, p2) of distinct pairs."""
+    p1 = (F.coalesce("c", F.lit(0)) + 1.0) / F.lit(float(model.tokens + model.vocabulary + 1))
+    return (
+        wanted.join(model.table(spark, "unigrams"), "w", "left").withColumn("p1", p1).drop("c")
+        .join(model.table(spark, "bigrams"), ["v", "w"], "left")
+        .join(model.table(spark, "after_one"), "v", "left")
+        .select("v", "w", _mix(model.cfg.bigram_weight, "p1").alias("p2")))
+
+
+def pruned(spark: SparkSession, model: NgramModel, max_loss: float, path: str | None = None) -> NgramModel:
+    """The model without trigrams that hardly help; the fitting text loses at most ``max_loss`` nats a token."""
+    path, weight = path or scratch_path(spark, "ngrams"), model.cfg.trigram_weight
+    whole = model.table(spark, "trigrams")
+    inner = whole.where(F.col("u") != START)
+    p2 = _pairs(spark, model, inner.select("v", "w").distinct())
+    priced = inner.join(p2, ["v", "w"]).join(model.table(spark, "after_two").select("u", "v", "n"), ["u", "v"]).withColumn(
+        "p3", _mix(weight, "p2")).withColumn("loss", F.col("c") * (F.log("p3") - F.log(F.lit(1 - weight) * F.col("p2"))))
+    priced = materialise(priced.select("u", "v", "w", "c", "n", "p2", "p3", "loss"), "priced")
+    cut = loss_cut(priced, max_loss * model.tokens)
+    kept, gone = priced.where(F.col("loss") > cut), priced.where(F.col("loss") <= cut)
+    mass = kept.groupBy("u", "v").agg(F.sum("p3").alias("s3"), F.sum("p2").alias("s2"))
+    # Only histories that lose an entry get another weight; one that loses all keeps none: b = 1.
+    touched = gone.select("u", "v").distinct().join(mass, ["u", "v"], "left").select(
+        "u", "v", ((1 - F.coalesce("s3", F.lit(0.0))) / (1 - F.coalesce("s2", F.lit(0.0)))).alias("_b"))
+    after = model.table(spark, "after_two").join(touched, ["u", "v"], "left").withColumn(
+        "b", F.coalesce("_b", "b")).drop("_b")
+    after.write.mode("overwrite").parquet(f"{path}/after_two")
+    whole.where(F.col("u") == START).unionByName(kept.select("u", "v", "w", "c")).write.mode("overwrite").parquet(f"{path}/trigrams")
+    for name in ("bigrams", "unigrams", "after_one"):
+        model.table(spark, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    return replace(model, path=path)
+
+
+def loss_cut(priced: DataFrame, budget: float, slots: int = 4_096, passes: int = 3) -> float:
+    """A value such that all losses up to it add up to at most ``budget``; 0 if there is none.
+
+    Each pass sums the losses by slot of a logarithmic scale and goes on inside the first slot
+    that doesn't fit, so a few thousand numbers reach the driver, however many entries there are.
+    """
+    ends = priced.where("loss > 0").agg(F.min("loss").alias("lo"), F.max("loss").alias("hi")).first()
+    if ends["lo"] is None or budget <= 0:
+        return 0.0
+    low, high, spent, cut = math.log(ends["lo"]), math.log(ends["hi"]) + 1e-9, 0.0, 0.0
+    for _ in range(passes):
+        width = max((high - low) / slots, 1e-12)
+        at = F.floor((F.log("loss") - F.lit(low)) / F.lit(width))
+        inside = priced.where(F.col("loss") > 0).withColumn("_at", at).where(F.col("_at").between(0, slots - 1))
+        sums = {r["_at"]: (r["s"], r["m"]) for r in inside.groupBy("_at").agg(F.sum("loss").alias("s"), F.max("loss").alias("m")).collect()}
+        for slot in sorted(sums):
+            if spent + sums[slot][0] > budget:
+                low, high = low + slot * width, low + (slot + 1) * width
+                break
+            spent, cut = spent + sums[slot][0], max(cut, sums[slot][1])
+        else:
+            return cut
+    return cut
 
 
 def ratios(df: DataFrame, model: NgramModel, text_col: str = "text",
@@ -84,26 +161,15 @@ def ratios(df: DataFrame, model: NgramModel, text_col: str = "text",
     # Read twice below; written once so that the text is not tokenised again.
     distinct = materialise(g.select("u", "v", "w").distinct(), "grams")
 
-    smooth = float(model.tokens + model.vocabulary + 1)
-    p1 = (F.coalesce("c", F.lit(0)) + 1.0) / F.lit(smooth)
-    pairs = (
-        distinct.select("v", "w").distinct()
-        .join(model.table(spark, "unigrams"), "w", "left").withColumn("p1", p1).drop("c")
-        .join(model.table(spark, "bigrams"), ["v", "w"], "left")
-        .join(model.table(spark, "after_one"), "v", "left")
-    )
-    mix = lambda weight, below: F.when(
-        F.col("n").isNotNull(),
-        F.lit(weight) * F.coalesce("c", F.lit(0)) / F.col("n") + F.lit(1 - weight) * F.col(below)
-    ).otherwise(F.col(below))
-    pairs = pairs.select("v", "w", mix(cfg.bigram_weight, "p1").alias("p2"))
+    pairs = _pairs(spark, model, distinct.select("v", "w").distinct())
     known = model.table(spark, "trigrams").where(F.col("u") != START)
+    p3 = F.when(F.col("n").isNull(), F.col("p2")).when(F.col("c").isNull(), F.col("b") * F.col("p2")).otherwise(
+        _mix(cfg.trigram_weight, "p2"))
     triples = (
         distinct.join(pairs, ["v", "w"])
         .join(known, ["u", "v", "w"], "left")
         .join(model.table(spark, "after_two"), ["u", "v"], "left")
-        .select("u", "v", "w", (-F.log("p2")).alias("h2"),
-                (-F.log(mix(cfg.trigram_weight, "p2"))).alias("h3"))
+        .select("u", "v", "w", (-F.log("p2")).alias("h2"), (-F.log(p3)).alias("h3"))
     )
     sums = (per_doc.join(triples, ["u", "v", "w"]).groupBy(key).agg(
         F.sum("k").alias("n"), F.sum(F.col("k") * F.col("h2")).alias("h2"),

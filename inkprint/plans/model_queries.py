@@ -164,6 +164,17 @@ e AS (SELECT doc_id, avg(-ln(p2)) / greatest(avg(-ln(p3)), 1e-6) AS q FROM c GRO
 SELECT documents.doc_id AS doc_id, {r6('coalesce(q, 1.0)')} AS ratio FROM documents LEFT JOIN e ON e.doc_id = documents.doc_id"""
 _add("m07_cross_perplexity", _ratio, _RATIO_SQL)
 
+
+
+def _pruned_ratio(s, sf):
+    """The ratio with trigrams pruned at a hundredth of a nat a token."""
+    d = documents(s, sf)
+    model = ngram.fit(d.where(h01_col("train", "doc_id") < 0.7), RatioConfig(max_loss=0.01))
+    return _rounded(ngram.ratios(d, model), "ratio")
+
+
+_add("m07_pruned_ratio", _pruned_ratio)
+
 # --- genre mass, calibration, normalisation, matrix ----------------------------------------
 
 

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import pytest
 
@@ -73,3 +74,80 @@ def test_language(spark):
         frame(spark, ["another thing and the fox", "das braune ding und der", "", "ab", "日本語日本語"]),
         langid.fit(train)).collect()}
     assert got == {0: "en", 1: "de", 2: None, 3: None, 4: None}
+
+
+def plain_counts(texts):
+    rows = [["", "", *t.lower().split()] for t in texts]
+    tri = Counter((a, b, c) for r in rows for a, b, c in zip(r, r[1:], r[2:]))
+    return tri
+
+
+def plain_model(texts, cfg):
+    """P2 and P3 of the fitting text, and the bound on each trigram's loss."""
+    import math
+
+    tri = plain_counts(texts)
+    uni, bi, one, two = Counter(), Counter(), Counter(), Counter()
+    for (u, v, w), c in tri.items():
+        uni[w] += c
+        bi[v, w] += c
+        if v != "":
+            one[v] += c
+        if u != "":
+            two[u, v] += c
+    n = sum(uni.values())
+
+    def p2(v, w):
+        p1 = (uni[w] + 1) / (n + len(uni) + 1)
+        return cfg.bigram_weight * bi[v, w] / one[v] + (1 - cfg.bigram_weight) * p1 if v in one else p1
+
+    def p3(u, v, w):
+        return cfg.trigram_weight * tri[u, v, w] / two[u, v] + (1 - cfg.trigram_weight) * p2(v, w) if (u, v) in two else p2(v, w)
+
+    loss = {k: c * (math.log(p3(*k)) - math.log((1 - cfg.trigram_weight) * p2(*k[1:]))) for k, c in tri.items() if k[0] != ""}
+    return tri, uni, two, n, p2, p3, loss
+
+
+@pytest.mark.parametrize("max_loss", [0.0, 0.02, 0.3, 50.0])
+def test_pruned_trigrams(spark, max_loss):
+    """What goes, the new weights, probabilities that add up to 1, and the loss of the fitting text within its bound."""
+    import math
+    import random
+
+    rng, cfg = random.Random(3), ngram.RatioConfig()
+    texts = [" ".join(f"w{min(int(rng.paretovariate(0.8)), 12)}" for _ in range(rng.randrange(0, 30))) for _ in range(25)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = ngram.pruned(spark, ngram.fit(d, cfg), max_loss)
+    tri, uni, two, n, p2, p3, loss = plain_model(texts, cfg)
+    kept = {(r["u"], r["v"], r["w"]): r["c"] for r in model.table(spark, "trigrams").collect()}
+    gone = [k for k in loss if k not in kept]
+    order, spent, want = sorted(loss.items(), key=lambda e: e[1]), 0.0, []
+    for value in sorted({round(x, 9) for _, x in order}):  # equal losses go together
+        same = [k for k, x in order if round(x, 9) == value]
+        spent += sum(loss[k] for k in same)
+        if spent > max_loss * n:
+            break
+        want += same
+    assert sorted(gone) == sorted(want) and all(tri[k] == c for k, c in kept.items())
+    weight = {(r["u"], r["v"]): r["b"] for r in model.table(spark, "after_two").collect()}
+
+    def after(u, v, w):
+        return p3(u, v, w) if (u, v, w) in kept else weight[u, v] * p2(v, w)
+
+    lost = 0.0
+    for u, v in two:
+        # Words outside the vocabulary share what smoothing leaves.
+        total = sum(after(u, v, w) for w in uni) + weight[u, v] * (1 - sum(p2(v, w) for w in uni))
+        assert total == pytest.approx(1) and weight[u, v] >= 1 - cfg.trigram_weight - 1e-12
+    for (u, v, w), c in tri.items():
+        if u != "":
+            lost += c * (math.log(p3(u, v, w)) - math.log(after(u, v, w)))
+    assert -1e-9 <= lost <= max_loss * n + 1e-9
+    assert bool(gone) == (max_loss > 0) and (max_loss < 50 or not set(loss) & set(kept))
+    got = {r["doc_id"]: r["ratio"] for r in ngram.ratios(d, model).collect()}
+    for i, text in enumerate(texts):
+        t = ["", *text.split()]
+        pairs = [(u, v, w) for u, v, w in zip(t, t[1:], t[2:])]
+        h2 = [-math.log(p2(v, w)) for _, v, w in pairs]
+        h3 = [-math.log(p2(v, w) if (u, v) not in two else after(u, v, w)) for u, v, w in pairs]
+        assert got[i] == pytest.approx(sum(h2) / max(sum(h3), 1e-6 * len(h3)) if pairs else 1.0)
