@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,16 +57,36 @@ def test_detector_end_to_end(spark, small, tmp_path):
     pairs = again.join(got.select("doc_id", F.col("final_prob").alias("p")), "doc_id")
     assert pairs.where(F.abs(F.col("p") - F.col("final_prob")) > 1e-9).count() == 0
 
-    inbox = tmp_path / "inbox"
-    inbox.mkdir()
-    (inbox / "a.txt").write_text("This is a longer sentence that is here. " * 8)
-    (inbox / "b.txt").write_text("too short")
-    paths = (str(inbox), str(tmp_path / "out"), str(tmp_path / "state"))
-    first = {r["path"][-5:]: r["status"] for r in score_inbox(spark, detector, *paths).collect()}
-    assert first == {"a.txt": "scored", "b.txt": "too_short"}
-    (inbox / "c.txt").write_text("Another sentence arrives a little later. " * 8)
-    second = score_inbox(spark, detector, *paths)
-    assert second.count() == 3 and second.select("path").distinct().count() == 3
+    inbox, out = tmp_path / "inbox", tmp_path / "out"
+    paths = (str(inbox), str(out), str(tmp_path / "state"))
+
+    def deliver(folder, name, words):
+        (inbox / folder).mkdir(parents=True, exist_ok=True)
+        (inbox / folder / name).write_text(words)
+
+    def rows():
+        return {r["name"]: r for r in score_inbox(spark, detector, *paths).collect()}
+
+    old = "This is a longer sentence that is here. " * 8
+    deliver("one", "a.txt", old)
+    deliver("one", "b.txt", "too short")
+    first = rows()
+    assert {k: r["status"] for k, r in first.items()} == {"a.txt": "scored", "b.txt": "too_short"}
+    # Replay of one document, a changed one, a new one.
+    deliver("two", "a.txt", old)
+    deliver("two", "b.txt", "Another sentence arrives a little later. " * 8)
+    deliver("two", "c.txt", "A third of them came with the second post. " * 8)
+    second = rows()
+    assert {k: r["status"] for k, r in second.items()} == {"a.txt": "scored", "b.txt": "scored", "c.txt": "scored"}
+    assert second["a.txt"] == first["a.txt"] and second["b.txt"]["path"].endswith("two/b.txt")
+    # A late arrival with an old date, and one more replay.
+    deliver("three", "d.txt", old.upper())
+    os.utime(inbox / "three" / "d.txt", (86_400, 86_400))
+    deliver("three", "c.txt", "A third of them came with the second post. " * 8)
+    third = rows()
+    assert set(third) == {"a.txt", "b.txt", "c.txt", "d.txt"} and third["d.txt"]["status"] == "scored"
+    assert all(third[k] == second[k] for k in second)
+    assert spark.read.parquet(str(out)).count() == 5  # a, b twice, c, d: nothing was scored again
 
 
 def test_no_row_is_scored_by_a_model_that_saw_it(spark, small, monkeypatch):
