@@ -121,3 +121,17 @@ def test_nothing_to_fit(spark):
     assert all((t.feature < 0).all() for t in empty.trees)
     nothing = b.Boosted([np.zeros(0)] * 4)
     assert [r[0] for r in d.limit(2).select(nothing.probability([F.col(n) for n in names])).collect()] == [0.5, 0.5]
+
+
+def test_only_the_smaller_of_two_siblings_is_counted(monkeypatch):
+    x, y, _ = made(4000)
+    cfg = StyloConfig(**{**CFG.__dict__, "depth": 6, "min_child_weight": 1.0})
+    bins = b.Boosted([np.quantile(v, np.arange(1, 16) / 16) for v in x.T]).binned(x)
+    g, h = b.gradients(np.zeros(len(y)), y)
+    counted, count = [], b._count
+    monkeypatch.setattr(b, "_count", lambda s, slots, of, drawn, g, h, node, *rest: (
+        counted.append(int((of[node] >= 0).sum())), count(s, slots, of, drawn, g, h, node, *rest)))
+    tree, columns = b.Tree.empty(6), np.arange(x.shape[1])
+    b.grow(tree, 0, bins, g, h, columns, 16, cfg)
+    assert same(as_plain(tree), plain_tree(bins, g / b._ONE, h / b._ONE, columns.tolist(), cfg))
+    assert counted[0] == 4000 and len(counted) == 6 and max(counted[1:]) <= 2000
