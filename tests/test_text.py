@@ -93,3 +93,12 @@ def test_lists_are_as_published():
     """Digests of the lists in published order: a changed, lost or moved entry shows."""
     digest = lambda words: hashlib.sha256("\n".join(words).encode()).hexdigest()[:16]
     assert {n: digest(getattr(lexicons, n)) for n in PUBLISHED} == PUBLISHED
+
+
+def test_texts_are_cleaned_once_per_figure(spark):
+    d = spark.createDataFrame([(" Two  two\x01 three",), ("",), (None,)], "text string")
+    got = d.select(text.clean_word_count(text.clean_characters(F.col("text"))).alias("n"),
+                   text.clean_unique_ratio(text.clean_characters(F.col("text"))).alias("r"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ibm.icu.text.Normalizer") == 2  # once a column
+    assert [tuple(r) for r in got.collect()] == [(3, 2 / 3), (0, 1.0), (None, None)]
