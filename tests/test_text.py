@@ -102,3 +102,16 @@ def test_texts_are_cleaned_once_per_figure(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ibm.icu.text.Normalizer") == 2  # once a column
     assert [tuple(r) for r in got.collect()] == [(3, 2 / 3), (0, 1.0), (None, None)]
+
+
+def test_character_pairs_are_counted_by_code_point(spark):
+    rows = ["", "a", "abab", "a  b a", "\U0001f600\U0001f600\U0001f600x", "e\u0301\nE"]
+    d = spark.createDataFrame([(t,) for t in rows], "text string").select(
+        "text", text.char_bigram_counts(F.col("text")).alias("n"), F.size(text.char_bigrams(F.col("text"))).alias("pairs"))
+    assert "SortArray" not in (plan := d._jdf.queryExecution().optimizedPlan().toString()) and "sort_array" not in plan
+    for r in d.collect():
+        flat = r["text"].replace("  ", " ")
+        want = {}
+        for a, b in zip(flat, flat[1:]):
+            want[a + b] = want.get(a + b, 0) + 1
+        assert sorted(r["n"]) == sorted(want.values()) and sum(r["n"]) == r["pairs"]
