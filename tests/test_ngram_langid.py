@@ -151,3 +151,11 @@ def test_pruned_trigrams(spark, max_loss):
         h2 = [-math.log(p2(v, w)) for _, v, w in pairs]
         h3 = [-math.log(p2(v, w) if (u, v) not in two else after(u, v, w)) for u, v, w in pairs]
         assert got[i] == pytest.approx(sum(h2) / max(sum(h3), 1e-6 * len(h3)) if pairs else 1.0)
+
+
+def test_tokens_are_shuffled_to_their_ngrams_once(spark):
+    d = spark.createDataFrame([(1, "a b a b c"), (2, "c c c"), (2, "a b"), (None, "a b")], "doc_id long, text string")
+    got = ngram.ratios(d, ngram.fit(d))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # One aggregate by document, none by document and n-gram.
+    assert sum("Aggregate [doc_id" in line for line in plan.splitlines()) == 1 and got.count() == 4
