@@ -120,7 +120,8 @@ _TRAIN = h01("train", "doc_id") + " < 0.7"
 
 
 def _scaling(s, sf):
-    d = with_stylometry(documents(s, sf, STYLED).select("doc_id", "text"), names=FEATURE_NAMES).drop("text")
+    # Read twice, for the statistics and to be scaled; written once so that no text is tokenised again.
+    d = materialise(with_stylometry(documents(s, sf, STYLED).select("doc_id", "text"), names=FEATURE_NAMES).drop("text"), "features")
     stats = models.fit_scaler(d.where(h01_col("train", "doc_id") < 0.7), FEATURE_NAMES)
     return _rounded(models.scale(d, stats), *FEATURE_NAMES)
 

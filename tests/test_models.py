@@ -71,3 +71,10 @@ def test_registered_models_use_the_published_boosting(spark, small):
         scores = [r["stylometric"] for r in queries()[name](spark, small).collect()]
         assert scores and all(0 <= p <= 1 for p in scores)
     assert "detector" not in vars(training)  # trees alone were fitted
+
+
+def test_scaled_features_come_from_one_pass_over_the_text(spark, small):
+    from inkprint.plans.model_queries import QUERIES
+
+    plan = QUERIES["m02_feature_scaling"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "documents.parquet" not in plan
