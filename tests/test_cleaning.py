@@ -81,3 +81,22 @@ def test_minimum_words(spark):
 def test_extracted_text_keeps_line_breaks(spark):
     d = spark.createDataFrame([("  a \t  b\né\x07c\r\nd  ",)], "t string")
     assert d.select(cleaning.extracted_text(F.col("t"))).first()[0] == "a b\n  c \nd"
+
+
+def test_extraction_touches_only_runs_that_change(spark):
+    """Lone spaces are no match of the collapse; ends are trimmed without a search through the text."""
+    texts = ["a b", " a  b ", "a\tb", "a \t b", "\n a\n\nb \n", "a　 b", "é a", "", "​"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    column = cleaning.extracted_text(F.col("t"))
+    got = [r[0] for r in d.orderBy("i").select(column).collect()]
+    assert got == ["a b", "a b", "a b", "a b", "a\n\nb", "a b", "a", "", ""]
+    assert r"\x20[" in d.select(column)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_structure_rules_are_those_of_the_table(spark):
+    rows = [("1.2  A heading of the document",), ("see 1.2 A heading, not at the start",), ("Some words ... and a leader",),
+            ("Some words …… and a leader",), ("Some words .. and no leader",), ("A HEADING IN CAPITALS ONLY",), ("Figure 3 is a long caption",)]
+    d = spark.createDataFrame(rows, "t string")
+    one = F.col("t").rlike("|".join(cleaning.STRUCTURE_LINES.values()))
+    assert d.where(cleaning.is_structure(F.col("t")) != one).count() == 0 and d.where(one).count() == 5
+    assert cleaning._AT_START.startswith(r"\A(?:")  # tried once a line
