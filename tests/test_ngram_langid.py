@@ -159,3 +159,13 @@ def test_tokens_are_shuffled_to_their_ngrams_once(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     # One aggregate by document, none by document and n-gram.
     assert sum("Aggregate [doc_id" in line for line in plan.splitlines()) == 1 and got.count() == 4
+
+
+def test_ngram_tables_are_never_broadcast(spark, tmp_path):
+    from inkprint.operators import ngram
+
+    d = spark.createDataFrame([(1, "a b c a b d"), (2, "a b c"), (3, "x")], "doc_id long, text string")
+    out = ngram.ratios(d, ngram.fit(d, path=str(tmp_path / "n")))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=merge)") >= 4
+    assert {r["doc_id"]: r["ratio"] for r in out.collect()}[3] == 1.0
