@@ -9,7 +9,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -63,7 +64,15 @@ def fit_text_model(df: DataFrame, max_tokens: int | None, features: int, max_ite
     learner = LogisticRegression(
         featuresCol="_x", labelCol=label, rawPredictionCol="_raw", probabilityCol="_prob",
         predictionCol="_pred", maxIter=max_iter, regParam=reg)
-    return TextModel(Pipeline(stages=[*_hashed(features), learner]).fit(d), max_tokens)
+    hashing, idf = _hashed(features)
+    # Three passes read the hashed terms: document frequencies, feature statistics, and the blocks of rows
+    # that the iterations work on. They are kept until the fit is done, so text is tokenised once.
+    terms = hashing.transform(d).select(label, "_tf").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        weights = idf.fit(terms)
+        return TextModel(PipelineModel([hashing, weights, learner.fit(weights.transform(terms))]), max_tokens)
+    finally:
+        terms.unpersist()
 
 
 def fit_semantic(train: DataFrame, cfg: SemanticConfig = SemanticConfig()) -> TextModel:

@@ -78,3 +78,18 @@ def test_scaled_features_come_from_one_pass_over_the_text(spark, small):
 
     plan = QUERIES["m02_feature_scaling"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp" not in plan and "documents.parquet" not in plan
+
+
+def test_text_is_tokenised_once_in_a_fit(spark):
+    """The passes of a fit read hashed terms that are kept until it is done."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(t):
+        calls.add(1)
+        return t
+
+    d = spark.createDataFrame([("alpha beta " * 5, 0), ("delta zeta " * 5, 1)] * 20, "text string, label int")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    models.fit_text_model(d.withColumn("text", seen("text")), None, 1 << 10, 5, 1e-3)
+    assert calls.value == 40 and spark.sparkContext._jsc.getPersistentRDDs().size() == before
