@@ -125,3 +125,12 @@ def test_no_row_is_scored_by_a_model_that_saw_it(spark, small, monkeypatch):
         assert len(fits) == 3 and all(f == train - rows for f in fits)
     rest = full.signals.where("split <> 'train'").select(key, "semantic")
     assert out.where("split <> 'train'").select(key, "semantic").exceptAll(rest).count() == 0
+
+
+def test_independent_fits_run_at_the_same_time(spark):
+    from threading import Barrier
+
+    from inkprint.session import together
+
+    meet = Barrier(3, timeout=30)
+    assert together(*[lambda k=k: meet.wait() >= 0 and k for k in range(3)]) == [0, 1, 2]
