@@ -115,3 +115,10 @@ def test_character_pairs_are_counted_by_code_point(spark):
         for a, b in zip(flat, flat[1:]):
             want[a + b] = want.get(a + b, 0) + 1
         assert sorted(r["n"]) == sorted(want.values()) and sum(r["n"]) == r["pairs"]
+
+
+def test_strip_searches_only_texts_with_whitespace_at_an_end(spark):
+    rows = [(" a b ",), ("a b",), ("\u3000a\n",), ("",), (" ",), (None,), ("\u200ba",)]
+    d = spark.createDataFrame(rows, "t string").select("t", text.strip(F.col("t")).alias("s"))
+    assert [r["s"] for r in d.collect()] == ["a b", "a b", "a", "", "", None, "\u200ba"]
+    assert "CASE WHEN" in d._jdf.queryExecution().optimizedPlan().toString()
