@@ -135,3 +135,66 @@ def test_only_the_smaller_of_two_siblings_is_counted(monkeypatch):
     b.grow(tree, 0, bins, g, h, columns, 16, cfg)
     assert same(as_plain(tree), plain_tree(bins, g / b._ONE, h / b._ONE, columns.tolist(), cfg))
     assert counted[0] == 4000 and len(counted) == 6 and max(counted[1:]) <= 2000
+
+
+def test_the_loss_of_a_round_comes_with_the_next_rounds_first_job(spark, monkeypatch):
+    x, y, split = made()
+    d, names = frame(spark, x, y, split)
+    d = d.cache()
+    asked, real = [], b.Fit._val_loss
+    monkeypatch.setattr(b.Fit, "_val_loss", lambda fit: asked.append(len(fit.model.trees)) or real(fit))
+    cfg = StyloConfig(**{**CFG.__dict__, "rows_in_task": 150})
+    fit = b.Fit(d, names, "label", cfg)
+    fit.run()
+    assert asked == [CFG.trees] and len(fit.model.losses) == CFG.trees and fit.loaded is None
+    # Patience ends a fit after as many rounds as where one task has all rows.
+    y = np.random.default_rng(9).integers(0, 2, len(y))
+    noise = frame(spark, x, y, split)[0].cache()
+    cfg = {**CFG.__dict__, "trees": 40, "gamma": 0.0, "min_child_weight": 1.0}
+    one, many = (b.Fit(noise, names, "label", StyloConfig(**{**cfg, "rows_in_task": n})) for n in (200_000, 150))
+    assert one.run().to_dict() == many.run().to_dict() and one.model.losses == many.model.losses and len(one.model.losses) < 40
+
+
+def test_a_worker_adds_only_the_trees_that_are_new_to_it(monkeypatch):
+    x, y, _ = made(50)
+    bins = b.Boosted([np.quantile(v, np.arange(1, 16) / 16) for v in x.T]).binned(x)
+    g, h = b.gradients(np.zeros(len(y)), y)
+    trees = []
+    for columns in ([0], [1], [2]):
+        trees.append(b.Tree.empty(3))
+        b.grow(trees[-1], 0, bins, g, h, np.array(columns), 16, StyloConfig(**{**CFG.__dict__, "depth": 3, "min_child_weight": 0.1}))
+    uid, written, used, leaves = np.arange(50), np.linspace(-1, 1, 50), [], b.Tree.leaves
+    monkeypatch.setattr(b, "_KEPT", b.OrderedDict())
+    monkeypatch.setattr(b.Tree, "leaves", lambda tree, *a: used.append(tree) or leaves(tree, *a))
+
+    def fit(trees, held):
+        out = object.__new__(b.Fit)
+        out.token, out.held, out.model = "t", held, b.Boosted([], trees)
+        return out
+
+    want = written
+    for n in range(1, 4):
+        want = want + trees[n - 1].value[leaves(trees[n - 1], bins)]
+        used.clear()
+        assert (fit(trees[:n], 7)._margins(uid, bins, written) == want).all() and used == [trees[n - 1]]
+    # Kept margins that a job can't start from are not used.
+    assert (fit([], 7)._margins(uid, bins, written) == written).all()
+    assert (fit([], 20)._margins(uid, bins, written) == written).all()
+    monkeypatch.setattr(b, "KEPT_BLOCKS", 2)
+    for first in range(5):
+        fit([], 0)._margins(uid + 100 * first, bins, written)
+    assert len(b._KEPT) == 2
+
+
+def test_hessians_and_rows_add_up_exactly_in_one_number():
+    rng = np.random.default_rng(5)
+    n = b.BLOCK_ROWS
+    bins, slot = rng.integers(0, 256, (n, 3)).astype(np.uint8), rng.integers(0, 2, n)
+    bins[:, 2], slot[: n - 1] = 255, 0  # one cell with all but a row
+    g, h = rng.integers(-(1 << 24), 1 << 24, n).astype(float), np.full(n, float(1 << 22))
+    got = b.histograms(bins, g, h, slot, 2, 256)
+    for i in range(3):
+        for plane, weight in enumerate((g, h, np.ones(n))):
+            want = np.bincount(slot * 256 + bins[:, i].astype(int), weight, 512).reshape(2, 256)
+            assert (got[plane, i] == want).all()
+    assert b.bin_type([np.zeros(255)]) is np.uint8 and b.bin_type([np.zeros(256)]) is np.int16
