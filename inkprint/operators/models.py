@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
@@ -21,6 +20,7 @@ from inkprint.config import GenreConfig, SemanticConfig, StyloConfig
 from inkprint.functions import text
 from inkprint.functions.lexicons import FEATURE_NAMES, FORMAL_GENRES, GENRES
 from inkprint.operators import boosting
+from inkprint.session import written
 
 
 def tokens_and_pairs(df: DataFrame, text_col: str, max_tokens: int | None) -> DataFrame:
@@ -66,13 +66,11 @@ def fit_text_model(df: DataFrame, max_tokens: int | None, features: int, max_ite
         predictionCol="_pred", maxIter=max_iter, regParam=reg)
     hashing, idf = _hashed(features)
     # Three passes read the hashed terms: document frequencies, feature statistics, and the blocks of rows
-    # that the iterations work on. They are kept until the fit is done, so text is tokenised once.
-    terms = hashing.transform(d).select(label, "_tf").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    # that the iterations work on. They are written, so text is tokenised once and the executors' memory,
+    # which a cache fills by ten thousand texts at a time, is left to those blocks.
+    with written(hashing.transform(d).select(label, "_tf"), "terms") as terms:
         weights = idf.fit(terms)
         return TextModel(PipelineModel([hashing, weights, learner.fit(weights.transform(terms))]), max_tokens)
-    finally:
-        terms.unpersist()
 
 
 def fit_semantic(train: DataFrame, cfg: SemanticConfig = SemanticConfig()) -> TextModel:

@@ -93,3 +93,20 @@ def test_text_is_tokenised_once_in_a_fit(spark):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     models.fit_text_model(d.withColumn("text", seen("text")), None, 1 << 10, 5, 1e-3)
     assert calls.value == 40 and spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_hashed_terms_leave_the_executors_memory_to_the_learner(spark, monkeypatch):
+    """Nothing is cached for a fit; its terms are written, and deleted when it is done."""
+    import glob
+
+    from pyspark.sql import DataFrame
+
+    from inkprint import session
+
+    made, real = [], session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda s, name: made.append(real(s, name)) or made[-1])
+    monkeypatch.setattr(DataFrame, "persist", lambda *a, **k: 1 / 0)
+    d = spark.createDataFrame([("alpha beta " * 5, 0), ("delta zeta " * 5, 1), (None, 1)] * 20, "text string, label int")
+    model = models.fit_text_model(d, None, 1 << 10, 5, 1e-3)
+    assert models.semantic_probability(d, model).count() == 60
+    assert [p.rpartition("/")[2].partition("-")[0] for p in made] == ["terms"] and not glob.glob(made[0].removeprefix("file:"))
