@@ -106,3 +106,24 @@ def test_scores_and_files(spark):
     got = [r[0] for r in d.select(head.probability([F.col(c) for c in "abc"])).collect()]
     assert got == pytest.approx((1 / (1 + np.exp(-head.margins(x)))).tolist())
     assert p.fit(d.where("false"), ["a", "b", "c"], "label", CFG).losses == []
+
+
+@pytest.mark.parametrize("rows_in_task", [1, 45, 119])
+def test_steps_whose_rows_one_task_may_hold_are_one_job(spark, monkeypatch, rows_in_task):
+    """The same head, with a job for some steps (or for each, if a batch is too large) and one for each epoch's loss."""
+    from pyspark import RDD
+
+    monkeypatch.setattr(p, "BLOCK_ROWS", 16)
+    x, y, split = made(240)
+    d = frame(spark, x, y, split)
+    quick = {**CFG.__dict__, "max_iter": 2}
+    one = p.fit(d, ["a", "b", "c"], "label", FusionConfig(**quick))
+    jobs, reduced = [], RDD.treeReduce
+    monkeypatch.setattr(RDD, "treeReduce", lambda r, f, *a: jobs.append("step") or reduced(r, f, *a))
+    monkeypatch.setattr(RDD, "partitionBy", lambda r, *a, real=RDD.partitionBy: jobs.append("steps") or real(r, *a))
+    many = p.fit(d, ["a", "b", "c"], "label", FusionConfig(**{**quick, "rows_in_task": rows_in_task}))
+    train = int((split == "train").sum())
+    steps = -(-train // CFG.batch_rows)
+    held = rows_in_task // -(-train // steps)
+    assert one.to_dict() == many.to_dict() and steps > 2
+    assert jobs == (["steps"] * 2 * -(-steps // held) if held else ["step"] * 2 * steps)
